@@ -69,3 +69,39 @@ def text_or_empty(c: str | Column = "text") -> Column:
 def word_count(c: str | Column = "text") -> Column:
     """Number of words as a long; null counts as empty."""
     return F.regexp_count(text_or_empty(c), F.lit(WORD)).cast("long")
+
+
+def per_document(docs: DataFrame, compute, fields: str, chunk_chars: int = 1 << 21, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """A row per row of docs: the carried columns and the fields (DDL) that compute(texts) gives, as one list per field.
+
+    Texts (null: empty) reach compute whole, in lists of about chunk_chars characters or one longer text. Memory is
+    bounded by a chunk and an Arrow batch. Other columns of docs are not read.
+    """
+    from pyspark.sql.types import StructType
+
+    out = StructType([docs.schema[c] for c in carry] + StructType.fromDDL(fields).fields)
+    names = [f.name for f in out.fields]
+    n_carry = len(carry)
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(out)
+        for batch in batches:
+            texts = batch.column(n_carry)
+            lengths = [0 if x is None else x for x in pyarrow.compute.utf8_length(texts).to_pylist()] if len(texts) else []
+            at = 0
+            while at < len(lengths):
+                end, chars = at, 0
+                while end < len(lengths) and (end == at or chars + lengths[end] <= chunk_chars):
+                    chars += lengths[end]
+                    end += 1
+                got = compute([x or "" for x in texts.slice(at, end - at).to_pylist()])
+                cols = [batch.column(i).slice(at, end - at) for i in range(n_carry)]
+                cols += [pa.array(v, type=schema.field(n_carry + i).type) for i, v in enumerate(got)]
+                yield pa.RecordBatch.from_arrays([c.cast(schema.field(i).type) for i, c in enumerate(cols)], names=names)
+                at = end
+
+    return docs.select(*carry, "text").mapInArrow(run, out)

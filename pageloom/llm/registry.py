@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from . import exact_dedup, mixing
+from . import bpe, exact_dedup, mixing
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op6_bpe": bpe.op6_bpe,
     "op8_mixing": mixing.op8_mixing,
 }
 ORACLE_SQL = {
