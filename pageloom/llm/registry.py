@@ -1,9 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, exact_dedup, mixing
+from . import bpe, exact_dedup, mixing, secrets, token_counts
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_secrets": secrets.op3_secrets,
+    "op5_token_counts": token_counts.op5_token_counts,
     "op6_bpe": bpe.op6_bpe,
     "op8_mixing": mixing.op8_mixing,
 }
