@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, exact_dedup, mixing, secrets, token_counts
+from . import bpe, exact_dedup, mixing, secrets, token_counts, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_secrets": secrets.op3_secrets,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_bpe": bpe.op6_bpe,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_mixing": mixing.op8_mixing,
 }
 ORACLE_SQL = {
