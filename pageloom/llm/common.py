@@ -105,3 +105,49 @@ def per_document(docs: DataFrame, compute, fields: str, chunk_chars: int = 1 <<
                 at = end
 
     return docs.select(*carry, "text").mapInArrow(run, out)
+
+
+#: A key in more than 1/HOT_SHARE of all rows is hot; there are at most HOT_SHARE such.
+HOT_SHARE = 256
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """left joined (left outer) to right, which has one row a key and in n the key's number of rows in left.
+
+    Hot keys come by a broadcast of at most HOT_SHARE rows; the others are shuffled, so no task gathers a hot key. Give
+    written tables. Null keys find nothing.
+    """
+    total = left.count()
+    others = [c for c in right.columns if c != key]
+    hot = right.filter(F.col(n) > total / HOT_SHARE).select(key, F.struct(*others).alias("_hot"))
+    rest = right.filter(F.col(n) <= total / HOT_SHARE).select(F.col(key).alias("_rest_key"), F.struct(*others).alias("_rest"))
+    out = left.join(F.broadcast(hot), key, "left")
+    spread = F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string"))  # matches no key, and spreads what is done already
+    text_key = F.when(F.col("_hot").isNull(), F.col(key).cast("string")).otherwise(spread)
+    out = out.withColumn("_key", text_key).join(rest.withColumn("_rest_key", F.col("_rest_key").cast("string")), F.col("_key") == F.col("_rest_key"), "left")
+    found = F.coalesce("_hot", "_rest")
+    return out.select(*left.columns, *[found[c].alias(c) for c in others])
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """Connected components of edges (a, b): one row (node, root) for each node in an edge; root is its smallest node.
+
+    Alternating large-star and small-star rounds; each round is a written table, and hubs are joined, never collected.
+    """
+    edges = write_table(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = None
+    for _ in range(most_rounds):
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = write_table(large, "large-star")
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        edges = write_table(small.filter("a <> b").distinct(), "small-star")
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == before:
+            break
+        before = state
+    else:
+        raise RuntimeError("components did not settle")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

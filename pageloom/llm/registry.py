@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, exact_dedup, mixing, secrets, token_counts, toxicity
+from . import bpe, exact_dedup, mixing, secrets, simhash, token_counts, toxicity
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_secrets": secrets.op3_secrets,
     "op5_token_counts": token_counts.op5_token_counts,
