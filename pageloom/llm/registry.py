@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, exact_dedup, mixing, secrets, simhash, token_counts, toxicity
+from . import bpe, exact_dedup, mixing, neighbours, secrets, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_secrets": secrets.op3_secrets,
+    "op4_neighbours": neighbours.op4_neighbours,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_bpe": bpe.op6_bpe,
     "op7_toxicity": toxicity.op7_toxicity,
