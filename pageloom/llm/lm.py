@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, per_document, write_table
 
-DEPTH = 4
+DEPTH = 5
 END = b"\xff"  # no byte of UTF-8
 _LOG_HALF = float(np.log(0.5))
 

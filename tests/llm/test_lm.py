@@ -83,7 +83,7 @@ def test_scores_equal_brute_force(spark, monkeypatch):
 def test_probabilities_add_up_to_one(spark):
     df = spark.createDataFrame([(i, f"some words {i} and more {i * i}") for i in range(50)], "doc_id long, text string")
     tree = lm.fit_tree(lm.gather(df), bits=8, least=2)
-    for ctx in (b"\xff\xff\xff\xff", b"some", b"qqqq", b"word", b"ds 1"):
+    for ctx in (lm.END * lm.DEPTH, b" some", b"qqqqq", b"words", b"rds 1"):
         g = np.array([int.from_bytes(ctx + bytes([x]), "big") for x in range(256)], np.uint64)
         assert (10 ** tree.log10_of(g)).sum() == pytest.approx(1)
 
