@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, exact_dedup, lm, mixing, neighbours, secrets, simhash, token_counts, toxicity
+from . import bpe, exact_dedup, lm, mixing, neighbours, secrets, simhash, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_mixing": mixing.op8_mixing,
     "op9_lm": lm.op9_lm,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
