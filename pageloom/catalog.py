@@ -1,4 +1,8 @@
 """Every registered query of the engine, and its SQL twin."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from .queries import pages, tables
+
+QUERIES: dict = {**pages.QUERIES, **tables.QUERIES}
+ORACLE_SQL: dict = {**pages.ORACLE_SQL, **tables.ORACLE_SQL}

@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TEXT_CAP = 4000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -114,14 +115,14 @@ def parse_html(html: str | None, implied: bool = False) -> list[dict]:
 def parse_pages(pages: DataFrame, implied: bool = False, text_cap: int = TEXT_CAP) -> DataFrame:
     """The node table of (page_id, html). A page without elements, or without HTML, has no rows. text is what shows, a line
     a block; joined the stripped strings without separator; both are cut at text_cap, text_len is the full length."""
-    names = [c.split()[0] for c in re.split(r",\s(?=\w+ )", NODES)]
+    row = StructType.fromDDL(NODES)
+    names = row.names
 
     def run(batches):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
 
-        schema = to_arrow_schema(StructType.fromDDL(NODES))
+        schema = to_arrow_schema(row)
         for batch in batches:
             cols: dict[str, list] = {n: [] for n in names}
             for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -250,6 +251,20 @@ def select(nodes: DataFrame, selector: str, scopes: DataFrame | None = None) ->
     return found if scopes is not None else found.drop("scope_pre")
 
 
+def matches(nodes: DataFrame, selectors: dict[int, str]) -> DataFrame:
+    """(rank, node columns): nodes that match each of several selectors. Selectors of one element are all tested in one pass."""
+    plain = {r: s for r, s in selectors.items() if "," not in s and len(_steps(s)) == 1}
+    found = None
+    if plain:
+        hit = F.filter(F.array(*(F.when(compound(s), F.lit(r)) for r, s in plain.items())), lambda x: x.isNotNull())
+        found = nodes.select(F.explode(hit).alias("rank"), *nodes.columns)
+    for r, s in selectors.items():
+        if r not in plain:
+            part = select(nodes, s).select(F.lit(r).alias("rank"), *nodes.columns)
+            found = part if found is None else found.unionByName(part)
+    return found
+
+
 def scopes_of(nodes: DataFrame) -> DataFrame:
     """Nodes as scopes for select()."""
     return nodes.select("page_id", F.col("pre").alias("scope_pre"), F.col("post").alias("scope_post"))

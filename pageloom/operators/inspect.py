@@ -170,11 +170,8 @@ def repeated_first_class(nodes: DataFrame, low: int = 3, high: int = 200, top: i
 def find_containers(nodes: DataFrame, plan_selector: str = "") -> DataFrame:
     """(page_id, selector, node columns) of a page's record containers: the plan's selector if it hits twice, else the common
     selector with most hits (the earlier of equals; not one that first hits a span or a link), else the most repeated first class."""
-    hits = None
-    for rank, s in enumerate([plan_selector, *CONTAINERS]):
-        if s:
-            part = dom.select(nodes, s).withColumn("rank", F.lit(rank)).withColumn("selector", F.lit(s))
-            hits = part if hits is None else hits.unionByName(part)
+    by_rank = {r: s for r, s in enumerate([plan_selector, *CONTAINERS]) if s}
+    hits = dom.matches(nodes, by_rank).withColumn("selector", F.element_at(F.create_map(*(F.lit(x) for r, s in by_rank.items() for x in (r, s))), F.col("rank")))
     counted = hits.groupBy("page_id", "rank", "selector").agg(F.count("*").alias("n"), F.min_by("tag", "pre").alias("first_tag"))
     good = counted.filter((F.col("n") >= 2) & ((F.col("rank") == 0) | ~F.col("first_tag").isin("span", "a")))
     order = Window.partitionBy("page_id").orderBy(F.when(F.col("rank") == 0, 0).otherwise(1), F.desc("n"), "rank")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import crawl, dom, extract, inspect, records, semi
 from ..sources import sinks
+from ..sources.staging import staged
 from . import model
 
 
@@ -36,7 +37,7 @@ def extract_pages(pages: DataFrame, plan: model.Plan, own: Extractor | None = No
     """(page_id, item_ord, fields, tier) of each page's first tier that holds: the user's extractor or the shortcut and fallback
     chain (gated), records of API responses (page_id, body), selectors."""
     fields = plan.names
-    nodes = dom.parse_pages(pages).persist()
+    nodes = staged(dom.parse_pages(pages), "nodes")
     tiers = [own(nodes, pages, fields)] if own else [extract.shortcut(nodes, fields, pages).drop("tier"), extract.fallback(nodes, fields, pages).drop("tier")]
     gates = {i: PRIMARY_GATE for i in range(len(tiers))}
     if responses is not None:
@@ -45,7 +46,7 @@ def extract_pages(pages: DataFrame, plan: model.Plan, own: Extractor | None = No
         tiers.append(records.drop_valueless(records.align(api, fields, ["page_id", "item_ord"]), fields))
     if any(f.selector for f in plan.fields):
         tiers.append(extract.by_selectors(nodes, plan.specs(), pages, plan.container))
-    return records.choose_tier([t.select("page_id", "item_ord", *fields) for t in tiers], "page_id", fields, gates)
+    return records.choose_tier([staged(t.select("page_id", "item_ord", *fields), "engine") for t in tiers], "page_id", fields, gates)
 
 
 def finish(rows: DataFrame, fields: list[str]) -> tuple[DataFrame, dict]:
