@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..sources.staging import staged
 from . import dom
 from .inspect import _attr
 
@@ -33,10 +34,11 @@ def next_pages(nodes: DataFrame, pages: DataFrame, pagination: dict | None = Non
 
 def follow(start: DataFrame, links: DataFrame, most_pages: int = 50) -> DataFrame:
     """(url, step) reached from start (url) over links (url, next_url), the first visit of each, at most most_pages steps."""
-    seen = start.select("url").distinct().withColumn("step", F.lit(0))
+    seen = staged(start.select("url").distinct().withColumn("step", F.lit(0)), "seen")
     front = seen
     for step in range(1, most_pages):
         nxt = front.join(links, "url").select(F.col("next_url").alias("url")).filter("url <> ''").distinct().join(seen.select("url"), "url", "left_anti").withColumn("step", F.lit(step))
+        nxt = staged(nxt, "front")  # else each step would plan all before it again
         if nxt.isEmpty():
             break
         seen, front = seen.unionByName(nxt), nxt
