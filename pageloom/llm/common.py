@@ -8,12 +8,14 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space that separates words in every contract of this subpackage.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows up to which a side counts as small enough to broadcast; beyond, the caller's other way is taken.
+#: Rows and bytes up to which a side counts as small enough to broadcast; beyond, the caller's other way is taken.
 BROADCAST_ROWS = 1 << 19
+BROADCAST_BYTES = 48 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,32 +23,46 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (tests) it is a temporary one."""
+    """The folder all executors share. Only a local session that names none (tests) gets a temporary one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         if have.isDefined():
             return have.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='pageloom-')}")
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
 
 
+#: Folders made in this session and not yet removed, in order.
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it is removed when the driver's Python ends."""
+    """A fresh path in the shared folder; it is removed by release() or when the driver's Python ends."""
     path = f"{shared_dir(spark)}/pageloom-{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    if not _made:
+        atexit.register(lambda: release(spark, 0))
+    _made.append(path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        if spark.sparkContext._jsc is not None:
-            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-    except Exception:  # noqa: BLE001  the session has ended; the folder's owner cleans up
-        pass
+def mark() -> int:
+    """Where the list of folders stands now, for release()."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Removes the folders made since mark() gave `since`, but for the last `keep` of them."""
+    gone = _made[since : len(_made) - keep]
+    del _made[since : len(_made) - keep]
+    if spark.sparkContext._jsc is None:  # the session has ended; the folder's owner cleans up
+        return
+    for path in gone:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def write_table(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -57,9 +73,34 @@ def write_table(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast when it has at most `rows` rows, which is checked; else left to a shuffled join. Give a written table."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def _bytes(field) -> Column:
+    """About what a value of this field takes in memory."""
+    kind, c = field.dataType, F.col(f"`{field.name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.lit(16) + F.coalesce(F.octet_length(c), F.lit(0))
+    if isinstance(kind, T.ArrayType):
+        width = 16 * (len(kind.elementType.fields) + 1) if isinstance(kind.elementType, T.StructType) else 16
+        return F.lit(24) + F.coalesce(F.size(c), F.lit(0)) * width
+    return F.lit(16 * (len(kind.fields) + 1) if isinstance(kind, T.StructType) else 8)
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a written table is within both bounds; rows and bytes of all its rows are measured."""
+    n, b = df.agg(F.count("*"), F.coalesce(F.sum(sum(map(_bytes, df.schema.fields), F.lit(32)).cast("long")), F.lit(0))).first()
+    return n <= rows and b <= size
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Marked for broadcast where is_small() holds; else left to a shuffled join. Give a written table."""
+    return F.broadcast(df) if is_small(df, rows, size) else df.hint("merge")
 
 
 def text_or_empty(c: str | Column = "text") -> Column:
@@ -77,9 +118,7 @@ def per_document(docs: DataFrame, compute, fields: str, chunk_chars: int = 1 <<
     Texts (null: empty) reach compute whole, in lists of about chunk_chars characters or one longer text. Memory is
     bounded by a chunk and an Arrow batch. Other columns of docs are not read.
     """
-    from pyspark.sql.types import StructType
-
-    out = StructType([docs.schema[c] for c in carry] + StructType.fromDDL(fields).fields)
+    out = T.StructType([docs.schema[c] for c in carry] + T.StructType.fromDDL(fields).fields)
     names = [f.name for f in out.fields]
     n_carry = len(carry)
 
@@ -111,40 +150,106 @@ def per_document(docs: DataFrame, compute, fields: str, chunk_chars: int = 1 <<
 HOT_SHARE = 256
 
 
-def join_counted(left: DataFrame, right: DataFrame, key: str, n: str = "n") -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, key: str, n: str = "n", total: int | None = None) -> DataFrame:
     """left joined (left outer) to right, which has one row a key and in n the key's number of rows in left.
 
     Hot keys come by a broadcast of at most HOT_SHARE rows; the others are shuffled, so no task gathers a hot key. Give
-    written tables. Null keys find nothing.
+    a written right side, and a written left side or its number of rows in total. Null keys find nothing. Column names of left and right, but for the key, must differ.
     """
-    total = left.count()
+    total = left.count() if total is None else total
     others = [c for c in right.columns if c != key]
-    hot = right.filter(F.col(n) > total / HOT_SHARE).select(key, F.struct(*others).alias("_hot"))
-    rest = right.filter(F.col(n) <= total / HOT_SHARE).select(F.col(key).alias("_rest_key"), F.struct(*others).alias("_rest"))
+    names = [free_name(left, x) for x in ("_hot", "_spread", "_rest_key", "_rest")]
+    hot_col, spread_col, rest_key, rest_col = names
+    hot = right.filter(F.col(n) > total / HOT_SHARE).select(key, F.struct(*others).alias(hot_col))
+    rest = right.filter(F.col(n) <= total / HOT_SHARE).select(F.hex(F.col(key).cast("string").cast("binary")).alias(rest_key) if _is_text(right, key) else F.hex(key).alias(rest_key), F.struct(*others).alias(rest_col))
     out = left.join(F.broadcast(hot), key, "left")
-    spread = F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string"))  # matches no key, and spreads what is done already
-    text_key = F.when(F.col("_hot").isNull(), F.col(key).cast("string")).otherwise(spread)
-    out = out.withColumn("_key", text_key).join(rest.withColumn("_rest_key", F.col("_rest_key").cast("string")), F.col("_key") == F.col("_rest_key"), "left")
-    found = F.coalesce("_hot", "_rest")
+    own = F.hex(F.col(key).cast("string").cast("binary")) if _is_text(right, key) else F.hex(key)
+    spread = F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string"))  # no hex number, and spreads what is done already
+    out = out.withColumn(spread_col, F.when(F.col(hot_col).isNull(), own).otherwise(spread)).join(rest, F.col(spread_col) == F.col(rest_key), "left")
+    found = F.coalesce(hot_col, rest_col)
     return out.select(*left.columns, *[found[c].alias(c) for c in others])
 
 
+def _is_text(df: DataFrame, key: str) -> bool:
+    return isinstance(df.schema[key].dataType, T.StringType)
+
+
+#: Edges that one task contracts at a time, and up to which a single task finishes.
+LOCAL_EDGES = 1 << 20
+
+
+def _contract(batches):
+    """Edges (a, b) of one partition as stars around the smallest node of each of its components: at most one edge a node."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def stars(table):
+        nodes = pc.unique(pa.chunked_array([*table.column(0).chunks, *table.column(1).chunks]).cast(table.schema.field(0).type))
+        order = pc.array_sort_indices(nodes)
+        nodes = nodes.take(order)
+        a, b = (pc.index_in(table.column(i), value_set=nodes).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+        label = smallest_labels(len(nodes), a, b)
+        rows = np.flatnonzero(label != np.arange(len(nodes)))
+        return pa.table([nodes.take(pa.array(rows)), nodes.take(pa.array(label[rows]))], names=["a", "b"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(pa.table([batch.column(0), batch.column(1)], names=["a", "b"]))
+        n += batch.num_rows
+        if n >= LOCAL_EDGES:
+            out = stars(pa.concat_tables(held))
+            if 2 * out.num_rows > n:  # little gained: pass it on
+                yield from out.to_batches(max_chunksize=100_000)
+                held, n = [], 0
+            else:
+                held, n = [out], out.num_rows
+    if held:
+        yield from stars(pa.concat_tables(held)).to_batches(max_chunksize=100_000)
+
+
+def smallest_labels(n: int, a, b):
+    """Smallest index in each of n indices' component under edges a-b."""
+    import numpy as np
+
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label[label] != label).any():
+            label = label[label]
+        live = label[a] != label[b]
+        a, b = a[live], b[live]
+    return label
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): one row (node, root) for each node in an edge; root is its smallest node.
 
-    Alternating large-star and small-star rounds; each round is a written table, and hubs are joined, never collected.
+    Each round contracts the edges of every partition to stars, then alternates large and small stars; a round is a
+    written table, and the edges of a hub are never gathered in a task (join_counted). At most LOCAL_EDGES edges, which
+    is checked, are finished by one task.
     """
-    edges = write_table(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    spark = edges.sparkSession
+    kind = edges.schema["a"].dataType.simpleString()
+    made = f"a {kind}, b {kind}"
+    edges = write_table(edges.filter("a <> b").select("a", "b").mapInArrow(_contract, made), "edges")
     before = None
     for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = write_table(large, "large-star")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        edges = write_table(small.filter("a <> b").distinct(), "small-star")
+        if edges.count() <= LOCAL_EDGES:
+            edges = write_table(edges.coalesce(1).mapInArrow(_contract, made), "stars")
+            break
+        since = mark()
+        both = write_table(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
+        low = write_table(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")), "low")
+        large = join_counted(both, low, "a").filter("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = write_table(large.unionByName(low.filter("a > m").select("a", F.col("m").alias("b"))).distinct(), "large-star")
+        low = write_table(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
+        small = join_counted(large, low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        edges = write_table(small.filter("a <> b").mapInArrow(_contract, made).distinct(), "small-star")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        release(spark, since, keep=1)
         if state == before:
             break
         before = state

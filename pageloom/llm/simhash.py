@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, components, documents, join_counted, per_document, text_or_empty, write_table
+from .common import components, documents, join_counted, per_document, smallest_labels, write_table
 
 _SALTS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -92,43 +92,6 @@ class Ring:
         return [sum(c) for k in range(1, self.distance + 1) for c in combinations(free, k)]
 
 
-class Wide:
-    """Similarity search in fingerprints of several views: links at `distance` differing bits, which stands for a Jaccard similarity.
-
-    Keys are error-free runs of key_bits on the ring at every fourth bit. With 256 bits and 20-bit keys a pair at Jaccard
-    0.8 (0.85, 0.9, 0.95) of shingles shares a key with probability 0.72 (0.88, 0.97, 0.998), before transitive links.
-    """
-
-    def __init__(self, distance: int = 42, views: int = 4):
-        self.distance, self.width = distance, 8 * views
-
-    def keys(self, prints: np.ndarray) -> np.ndarray:
-        raw = prints.byteswap().view(np.uint8).reshape(len(prints), -1)
-        nibble = np.empty((len(prints), 2 * raw.shape[1]), np.uint64)
-        nibble[:, 0::2], nibble[:, 1::2] = raw >> 4, raw & 15
-        out = np.zeros_like(nibble)
-        for k in range(5):
-            out = out << np.uint64(4) | np.roll(nibble, -k, 1)
-        return out | (np.arange(nibble.shape[1], dtype=np.uint64) << np.uint64(20))
-
-    def near(self, keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(a ^ b).sum(1) <= self.distance
-
-
-def _merge(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index in each of n indices' component under edges a-b."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        while (label[label] != label).any():
-            label = label[label]
-        live = label[a] != label[b]
-        a, b = a[live], b[live]
-    return label
-
-
 SMALL, LARGE = 16, 4096
 
 
@@ -172,7 +135,7 @@ def link_bucket(index, keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray
                     queue.extend(reached.tolist())
     if not a_all:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    label = _merge(n, np.concatenate(a_all), np.concatenate(b_all))
+    label = smallest_labels(n, np.concatenate(a_all), np.concatenate(b_all))
     rows = np.flatnonzero(label != np.arange(n))
     return rows, label[rows]
 
@@ -236,35 +199,11 @@ def near_groups(docs: DataFrame, shingle: int = 3, index=None, carry: tuple[str,
     prints = write_table(prints, "prints")
     nodes = write_table(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     roots = write_table(link_prints(nodes, index), "roots")
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = write_table(rooted.join(least, "root").select("fp", "n", "component_id"), "named")
+    rooted = write_table(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = write_table(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("k")), "least")
+    named = write_table(join_counted(rooted, least, "root", "k").select("fp", "n", "component_id"), "named")
     return join_counted(prints, named, "fp").drop("n")
 
 
-def drop_near(docs: DataFrame, shingle: int = 5, index=None) -> DataFrame:
-    """docs, all columns, with one document of each near-duplicate group: the one with the smallest doc_id.
-
-    By default groups are of five-word shingles at a similarity of 0.8 or more (Wide). Of repeated doc_ids in a group
-    one row stays; rows with a null doc_id stay only in a group that has no doc_id, and one of them.
-    """
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.sha2(text_or_empty(), 256))
-    tagged = docs.withColumn("_near_key", key)
-    groups = write_table(near_groups(tagged.select("doc_id", "text", "_near_key"), shingle, index or Wide(), carry=("doc_id", "_near_key")), "groups")
-    leads = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    per_key = groups.groupBy("_near_key").agg(F.max(leads).alias("leads"), F.count("*").alias("n"), F.min("component_id").alias("c"), F.min("fp").alias("fp"))
-    out = tagged.join(broadcast_if_small(write_table(per_key.filter("not leads").select("_near_key"), "near-keys")), "_near_key", "left_anti")
-    # several rows may lead a group: the same doc_id twice, or no doc_id at all
-    lead = groups.filter(leads).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.count("*").alias("n"), F.min("_near_key").alias("first"))
-    several = lead.filter("n > 1")
-    if not several.isEmpty():
-        again = groups.filter(leads).withColumn("own", F.when(F.col("component_id").isNull(), F.col("fp"))).join(several.select(F.col("component_id").alias("c"), F.col("own").alias("o"), "first"), F.col("component_id").eqNullSafe(F.col("c")) & F.col("own").eqNullSafe(F.col("o"))).select("_near_key", "first").distinct()
-        again = write_table(again, "near-again")
-        out = out.join(broadcast_if_small(again.filter("_near_key <> first").select("_near_key")), "_near_key", "left_anti")
-        first = broadcast_if_small(write_table(again.select(F.col("first").alias("_near_key")).distinct(), "near-first"))
-        out = out.join(first, "_near_key", "left_anti").unionByName(out.join(first, "_near_key", "left_semi").dropDuplicates(["_near_key"]))
-    return out.select(*docs.columns)
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir)).select("doc_id", F.col("fp").alias("fingerprint"), "component_id")

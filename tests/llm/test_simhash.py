@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 from pageloom.llm import simhash as s
+from pageloom.llm.common import smallest_labels
 
 
 def brute(rows, distance=2):
@@ -57,26 +58,7 @@ def test_ring_loses_no_link(distance, large, monkeypatch):
     k, who = keys.ravel(), np.repeat(np.arange(len(x)), keys.shape[1])
     order = np.argsort(k, kind="stable")
     a, b = s.link_bucket(ring, k[order], x[who[order]][:, None])
-    got = s._merge(len(x), who[order][a], who[order][b])
+    got = smallest_labels(len(x), who[order][a], who[order][b])
     d = np.bitwise_count(x[:, None] ^ x[None])
     i, j = np.nonzero(d <= distance)
-    assert (got == s._merge(len(x), i, j)).all()
-
-
-def test_near_copies_go_and_one_of_each_group_stays(spark):
-    rnd = random.Random(7)
-    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
-    rows = []
-    for g in range(15):
-        w = [word() for _ in range(300)]
-        for c in range(4):
-            v = list(w)
-            for _ in range(c):
-                v[rnd.randrange(300)] = word()
-            rows.append((g * 10 + c, " ".join(v), "s", g))
-    rows += [(None, "null id only text here now", "s", 1), (5, None, "s", 1), (6, "", "s", 1), (0, rows[0][1], "s", 1)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
-    out = s.drop_near(df)
-    assert out.columns == df.columns
-    assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == sorted([*range(0, 150, 10), 5])
-    assert out.filter("doc_id is null").count() == 1
+    assert (got == smallest_labels(len(x), i, j)).all()
