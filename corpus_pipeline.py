@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from pageloom.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
 from pageloom.llm.common import write_table
 
 
@@ -24,7 +24,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) the smallest doc_id stays."""
-    return simhash.drop_near(docs)
+    return near_dedup.drop_near(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
