@@ -44,26 +44,23 @@ def brute_ctw(train, texts):
             p = None
             for d in range(lm.DEPTH, -1, -1):
                 node = (c[lm.DEPTH - d :], bits)
-                if node not in counts:
-                    continue
-                n0, n1 = counts[node]
+                n0, n1 = counts.get(node, (0, 0))
                 est = (n1 + 0.5) / (n0 + n1 + 1)
-                own = 1.0 if d == lm.DEPTH else math.exp(math.log(0.5) + kt(n0, n1) - total(node))
+                own = 1.0 if d == lm.DEPTH else math.exp(math.log(0.5) + kt(n0, n1) - (total(node) if node in counts else 0.0))
                 p = est if p is None else own * est + (1 - own) * p
-            p = 0.5 if p is None else p
             s += math.log10(p if bit else 1 - p)
         out.append(s)
     return out
 
 
-def test_scores_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("top", [0, 40, 1 << 20])
+def test_scores_equal_brute_force(spark, top):
     rnd = random.Random(3)
     voc = ["the", "there", "then", "Ünder", "a", "b"]
     rows = [(i, " ".join(rnd.choice(voc) for _ in range(rnd.randrange(0, 25))) + rnd.choice(["", "\n", "  x"])) for i in range(60)]
     rows += [(7, rows[7][1]), (None, "then THE"), (500, None), (501, "")]
-    df = spark.createDataFrame([(a, b, "s") for a, b in rows], "doc_id long, text string, score string")
-    monkeypatch.setattr(lm.fit_tree, "__defaults__", (20, 1))
-    out = sorted(lm.score_documents(df, top_words=3).collect(), key=lambda r: (str(r.doc_id), r.n_tokens))
+    df = spark.createDataFrame([(a, b, "s", 1) for a, b in rows], "doc_id long, text string, score string, learn int")
+    out = sorted(lm.score_documents(df, top_words=3, top_grams=top).collect(), key=lambda r: (str(r.doc_id), r.n_tokens))
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 10 == 0
     form = lambda t: (t or "").encode().lower().split()
     train = [form(t) for d, t in rows if not held(d)]
@@ -77,15 +74,35 @@ def test_scores_equal_brute_force(spark, monkeypatch):
         toks = [*form(t), "end"]
         assert (r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (d, held(d), len(toks), sum(c[x] > 0 for x in toks), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in toks), rel=1e-9)
-        assert r.score == pytest.approx(m, rel=1e-5)
+        assert r.score == pytest.approx(m, rel=1e-9)
 
 
 def test_probabilities_add_up_to_one(spark):
-    df = spark.createDataFrame([(i, f"some words {i} and more {i * i}") for i in range(50)], "doc_id long, text string")
-    tree = lm.fit_tree(lm.gather(df), bits=8, least=2)
-    for ctx in (lm.END * lm.DEPTH, b" some", b"qqqqq", b"words", b"rds 1"):
-        g = np.array([int.from_bytes(ctx + bytes([x]), "big") for x in range(256)], np.uint64)
-        assert (10 ** tree.log10_of(g)).sum() == pytest.approx(1)
+    """Over all next bytes after seen and unseen contexts."""
+    texts = [f"some words {i} and more {i * i}" for i in range(50)]
+    asked = [ctx + bytes([x]) for ctx in (lm.END * lm.DEPTH, b" some", b"qqqqq", b"words", b"rds 1") for x in range(256)]
+    rows = [(1, t, True) for t in texts]
+    counts = lm.gather(spark.createDataFrame(rows, "doc_id long, text string, learn boolean"))
+    more = spark.createDataFrame([(int.from_bytes(a, "big"), None, 0) for a in asked], counts.schema)
+    both = counts.unionByName(more).groupBy("gram", "word").sum("n").withColumnRenamed("sum(n)", "n")
+    got = {r.gram: r.logp for r in lm.gram_scores(both).collect()}
+    for at in range(0, len(asked), 256):
+        assert sum(10 ** got[int.from_bytes(a, "big")] for a in asked[at : at + 256]) == pytest.approx(1, rel=1e-12)
+
+
+def test_counts_of_a_hundred_million_keep_rare_bytes_possible(spark):
+    g = lambda s: int.from_bytes(s, "big")
+    rows = [(g(b"aaaaaa"), None, 10**8), (g(b"aaaaab"), None, 0), (g(b"aaaabz"), None, 10**12), (g(b"qaaaaa"), None, 1)]
+    got = {r.gram: r.logp for r in lm.gram_scores(spark.createDataFrame(rows, "gram long, word binary, n long")).collect()}
+    assert all(math.isfinite(v) and v <= 0 for v in got.values()) and got[rows[0][0]] > -1e-6 and -30 < got[rows[1][0]] < -5
+
+
+def test_very_long_text_and_repeats(spark):
+    long = "ab " * 400_000
+    df = spark.createDataFrame([(1, long), (2, "ab ab"), (2, "ab ab"), (3, "ab ab")], "doc_id long, text string")
+    out = {(r.doc_id, r.n_tokens): r for r in lm.score_documents(df, top_grams=2).collect()}
+    assert out[1, 400_001].n_bytes == 1_200_000 and math.isfinite(out[1, 400_001].score)
+    assert out[2, 3].score == pytest.approx(out[3, 3].score)
 
 
 def test_empty_table_and_no_training_rows(spark):
