@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pageloom.llm import neighbours as nb
@@ -32,15 +34,38 @@ def test_recall_and_scores(spark, kind, monkeypatch):
     assert hits / 400 >= 0.93
 
 
-def test_radius_search_is_complete():
+def test_probing_finds_every_code_within_the_radius():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 16))
     book = nb.learn(x, bits=64)
     shard = nb.Shard(book, np.arange(500), x)
-    for r in (0, 5, 11, 20, 40):
+    for r in (0, 1, 2, 5, 11, 20, 40):
         for q in range(0, 500, 50):
             want = np.flatnonzero(np.bitwise_count(shard.code ^ shard.code[q]).sum(1) <= r)
-            assert (shard.within(shard.code[q], r) == want).all()
+            assert set(want) <= set(shard.probe(shard.code[q], r))
+
+
+def test_probing_reaches_a_small_share_of_rows():
+    """Even where nothing clusters: points all over a sphere of 64 dimensions."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    shard = nb.Shard(nb.learn(x[:16_384]), np.arange(len(x)), x)
+    reached, hits = [], 0
+    for q in range(0, len(x), 400):
+        at = shard.probe(shard.code[q], shard.book.radius)
+        reached.append(len(at) / len(x))
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & set(at.tolist()))
+    assert np.mean(reached) < 0.25 and hits / (10 * len(reached)) >= 0.93
+
+
+def test_wide_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 3000)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert nb.nearest(df, df.filter("vec_id = 7")).count() == 10
 
 
 def test_odd_rows(spark):
@@ -49,6 +74,6 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", nb.F.lit("x"))
     out = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in nb.nearest(df, df.filter("vec_id % 100 = 0")).collect())
     assert [o[:3] for o in out if o[0] == 0] == [(0, 1, 1), (0, 2, 8), (0, 3, 7), (0, 4, 100), (0, 5, 100)]
-    assert [o[2] for o in out if o[0] == 100] == [0, 1, 8, 7]
+    assert [(o[2], o[3]) for o in out if o[0] == 100] == [(100, 0.0), (0, math.sqrt(2)), (1, math.sqrt(2)), (8, math.sqrt(2)), (7, math.sqrt(5))]
     assert nb.nearest(df.limit(0), df).count() == 0
     assert nb.nearest(df.filter("vec_id = 0"), df.filter("vec_id = 0")).count() == 0
