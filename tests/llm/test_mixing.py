@@ -1,3 +1,5 @@
+import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -60,19 +62,58 @@ def test_taken_words_come_near_the_targets(spark):
     assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in got)
 
 
-def test_inclusion_follows_the_target_share(spark):
-    """Whole copies are certain; the rest is included with the share that is left, whatever the document's place."""
-    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("one two three four").alias("text"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"))
-    got = mix(docs)
-    target = {r.source: r.t for r in got.groupBy("source").agg((F.first("target") / F.first("source_size")).alias("t")).collect()}
-    for r in got.groupBy("source", F.floor(F.col("doc_id") / 2000).alias("part")).agg(F.avg("copies").alias("c"), F.min("copies").alias("low"), F.max("copies").alias("high")).collect():
-        assert abs(r.c - target[r.source]) < 0.06
-        assert int(target[r.source]) <= r.low and r.high <= int(target[r.source]) + 1
+def expected_copies(sizes, target, cap=3):
+    """Of each size: the cap or a common factor times the weight, found by bisection."""
+    w = {z: max(math.floor(16 * math.sqrt(z)), 1) for z in set(sizes)}
+    low, high = 0.0, 1e9
+    for _ in range(300):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(cap, mid * w[z]) * z for z in sizes) < target else (low, mid)
+    return {z: min(cap, high * w[z]) for z in w}
+
+
+def test_inclusion_is_unequal_and_as_the_weights_say(spark):
+    """Whole copies are certain; over many seeds a document's mean number of copies is its expected one."""
+    lengths = [1, 4, 9, 25, 64, 100]
+    docs = spark.range(3000).select(
+        F.col("id").alias("doc_id"), F.expr(f"repeat('w ', element_at(array({', '.join(map(str, lengths))}), CAST(id % 6 AS int) + 1))").alias("text"), F.when(F.col("id") % 5 < 3, "a").otherwise("b").alias("source")
+    )
+    seen = defaultdict(list)
+    for seed in "abcd":
+        for r in mix(docs, seed=seed).collect():
+            seen[r.source, r.size].append(r.copies)
+    target = {r.source: r.target for r in mix(docs).select("source", "target").distinct().collect()}
+    for source in "ab":
+        sizes = [z for (s, z), c in seen.items() if s == source for _ in range(len(c) // 4)]
+        for z, e in expected_copies(sizes, target[source]).items():
+            got = seen[source, z]
+            assert math.floor(e) <= min(got) and max(got) <= math.ceil(e)
+            assert abs(sum(got) / len(got) - e) < 0.05, (source, z, e)
+    assert len({round(sum(c) / len(c), 1) for c in seen.values()}) > 4  # unequal
+
+
+def test_pareto_ranks_decide(spark):
+    """The documents that get the copy beyond the whole ones are those of the smallest random odds over inclusion odds."""
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', 1 + CAST(id % 40 AS int))").alias("text"), F.lit("s").alias("source"))
+    docs = docs.unionByName(spark.range(500, 900).select(F.col("id").alias("doc_id"), F.expr("repeat('v ', 1 + CAST(id % 40 AS int))").alias("text"), F.lit("t").alias("source")))
+    got = [r for r in mix(docs).collect() if r.source == "s"]
+    e = expected_copies([r.size for r in got], got[0].target)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rank = {}
+    for r in got:
+        u = (int(hashlib.md5(f"{r.doc_id}:{hashlib.md5(texts[r.doc_id].encode()).hexdigest()}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        rest = e[r.size] - math.floor(e[r.size])
+        rank[r.doc_id] = (u / (1 - u)) / (rest / (1 - rest))
+    more = [rank[r.doc_id] for r in got if r.copies > math.floor(e[r.size])]
+    less = [rank[r.doc_id] for r in got if r.copies == math.floor(e[r.size])]
+    assert more and less and max(more) < min(less)
 
 
 def test_apply_repeats_whole_rows(spark):
     data = corpus(400, 5)
     docs = spark.createDataFrame(data, SCHEMA).withColumn("copies", F.lit("mine")).withColumn("size", F.lit("mine"))
+    for c in ("_size", "_n", "_copy", "_mix_n", "_mix_own", "digest", "one", "part"):
+        docs = docs.withColumn(c, F.lit("mine"))
     plan = {r.doc_id: r.copies for r in mix(docs).collect() if r.taken}
     out = apply_mix(docs)
     assert out.columns == docs.columns
