@@ -1,19 +1,24 @@
-"""Exact deduplication over a log-structured merge index of text digests. DataFrame functions only.
+"""Exact deduplication over a log-structured merge index of text digests. DataFrame and SQL functions only.
 
-Every scan task is a memtable: it flushes one run file of (digest, row), sorted by digest, with a Bloom filter and
-min/max statistics for the digest. Compaction merges runs and keeps the smallest identifier of each digest. Documents
-whose digest is shared are hits; the bytes of all hits are verified before a digest counts as a text.
+A batch of documents fills memtables, one for each scan task modulo MEMTABLES. Each is flushed as a run: its distinct
+digests in order, with the smallest identifier and the number of rows of each, and a filter, a Bloom bitmap of the digests.
+A digest is a hit when its own run has it several times or another run's filter may have it; only hits are merged across
+runs, so digests of one row, most of all, leave their run no more. Compaction merges the runs of a level into one of the
+next and keeps the smallest identifiers. The bytes of all hits are verified before a digest counts as a text.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, documents, new_folder, text_or_empty, write_table
+from .common import broadcast_if_small, documents, free_name, join_counted, new_folder, text_or_empty, write_table
 
-#: A digest in more than 1/HOT_SHARE of all rows is hot; there are at most HOT_SHARE such, so they are broadcast.
-HOT_SHARE = 256
+#: Memtables that a batch fills, runs of a level that compaction merges, and bits of a filter for each digest.
+MEMTABLES, FANOUT, FILTER_BITS = 4, 8, 16
+_PAGE = 32_768  # bits of one page of a filter
 
 
 def normalised(c: str | Column = "text") -> Column:
@@ -21,106 +26,168 @@ def normalised(c: str | Column = "text") -> Column:
     return F.regexp_replace(text_or_empty(c), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
+@dataclass
+class Level:
+    """Runs that were written together: a table of (run, digest, first, n), and its filters (run, page, bits) of `size` bits."""
+
+    runs: str
+    filters: str
+    size: int
+
+
 class DigestIndex:
-    """Runs (level 0) and one compacted level in the shared folder. Runs may come from several batches of documents.
+    """Levels of runs in the shared folder; batches of documents come by flush().
 
     digest_bytes shortens the SHA-256 that is the key; short ones collide, and byte verification sets that right.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, digest_bytes: int = 32):
-        self.spark, self.digest_bytes = spark, digest_bytes
+    def __init__(self, spark: SparkSession, path: str | None = None, digest_bytes: int = 32, memtables: int = MEMTABLES, fanout: int = FANOUT):
+        self.spark, self.digest_bytes, self.memtables, self.fanout = spark, digest_bytes, memtables, fanout
         self.path = path or new_folder(spark, "digests")
-        self.runs: list[str] = []
-        self.level: str | None = None
+        self.batches: list[str] = []
+        self.levels: list[list[Level]] = [[]]
+        self._written = 0
 
     def keyed(self, docs: DataFrame) -> DataFrame:
-        sha = docs.select("doc_id", normalised().alias("body")).withColumn("sha", F.unhex(F.sha2("body", 256)))
+        sha = docs.select("doc_id", normalised().alias("body"), raw_key()).withColumn("sha", F.unhex(F.sha2("body", 256)))
         return sha.withColumn("digest", F.substring("sha", 1, self.digest_bytes))
 
-    def _write(self, df: DataFrame, name: str) -> str:
-        path = f"{self.path}/{name}"
-        df.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.max.bytes", "65536").parquet(path)
-        return path
+    def _write_level(self, runs: DataFrame) -> Level:
+        self._written += 1
+        at = f"{self.path}/level-{self._written:05d}"
+        runs.sortWithinPartitions("run", "digest").write.option("compression", "zstd").parquet(f"{at}/runs")
+        runs = self.spark.read.parquet(f"{at}/runs")
+        most = runs.groupBy("run").count().agg(F.max("count")).first()[0] or 0
+        size = _PAGE
+        while size < FILTER_BITS * most:
+            size *= 2
+        place = runs.select("run", _place(size).alias("place"))
+        bits = place.groupBy("run", F.expr(f"place div {_PAGE}").alias("page")).agg(F.expr(f"bitmap_construct_agg(place % {_PAGE})").alias("bits"))
+        bits.write.parquet(f"{at}/filters")
+        return Level(f"{at}/runs", f"{at}/filters", size)
 
     def flush(self, docs: DataFrame) -> None:
-        """Adds a batch: one sorted run file for each scan task, without a shuffle."""
-        rows = self.keyed(docs).select("digest", "sha", "doc_id").withColumn("row", F.monotonically_increasing_id()).withColumn("run", F.lit(len(self.runs)))
-        self.runs.append(self._write(rows, f"run-{len(self.runs):05d}"))
+        """Adds a batch. Its rows (digest, sha, doc_id, raw, run, row) are written once, and texts are read no more."""
+        first_run = len(self.batches) * self.memtables
+        path = f"{self.path}/batch-{len(self.batches):05d}"
+        rows = self.keyed(docs).select("digest", "sha", "doc_id", "raw").withColumn("row", F.monotonically_increasing_id())
+        rows = rows.withColumn("run", F.lit(first_run) + F.spark_partition_id() % self.memtables)
+        rows.write.option("compression", "zstd").parquet(path)
+        self.batches.append(path)
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "run", "row")).alias("first")
+        self.levels[0].append(self._write_level(self.spark.read.parquet(path).groupBy("run", "digest").agg(first, F.count("*").alias("n"))))
+        for k, level in enumerate(self.levels):
+            if len(level) >= self.fanout:
+                self.compact(k)
+
+    def compact(self, k: int = 0) -> None:
+        """Merges the runs of level k into one run of the next: of each digest the smallest identifier and all its rows."""
+        merged = self._runs(self.levels[k]).groupBy("digest").agg(F.min("run").alias("run"), F.min("first").alias("first"), F.sum("n").alias("n"))
+        low = self._runs(self.levels[k]).agg(F.min("run")).first()[0] or 0
+        if k + 1 == len(self.levels):
+            self.levels.append([])
+        self.levels[k + 1].append(self._write_level(merged.withColumn("run", F.lit(low))))
+        self.levels[k] = []
 
     def entries(self) -> DataFrame:
-        return self.spark.read.parquet(*self.runs)
-
-    def compact(self) -> None:
-        """Merges all runs: for each digest the first row by (doc_id, nulls last; run; row) and the number of rows."""
-        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "run", "row")).alias("first")
-        self.level = self._write(self.entries().groupBy("digest").agg(first, F.count("*").alias("n")), f"level-{len(self.runs):05d}")
+        return self.spark.read.parquet(*self.batches)
+
+    def _runs(self, levels: list[Level]) -> DataFrame:
+        return self.spark.read.parquet(*[x.runs for x in levels]).select("run", "digest", "first", "n")
+
+    def hits(self) -> DataFrame:
+        """(run, digest, first, n) of digests that are repeated in their run or that another run's filter may have."""
+        every = [x for level in self.levels for x in level]
+        runs, maybe = self._runs(every), F.col("n") > 1
+        for i, level in enumerate(every):
+            pages = self.spark.read.parquet(level.filters).groupBy("page").agg(F.collect_list(F.struct("run", "bits")).alias(f"pages_{i}"))  # a page of each run
+            pages = write_table(pages.withColumnRenamed("page", f"page_{i}"), "filter-pages")
+            place = _place(level.size)
+            runs = runs.withColumn(f"place_{i}", place).join(broadcast_if_small(pages, size=32 << 20), F.expr(f"place_{i} div {_PAGE}") == F.col(f"page_{i}"), "left")
+            byte = f"substring(p.bits, CAST((place_{i} % {_PAGE}) div 8 AS int) + 1, 1)"
+            maybe = maybe | F.expr(f"coalesce(exists(pages_{i}, p -> p.run <> run AND (shiftright(CAST(conv(hex({byte}), 16, 10) AS int), CAST(place_{i} % 8 AS int)) & 1) = 1), false)")
+        return runs.filter(maybe).select("run", "digest", "first", "n")
 
     def groups(self) -> DataFrame:
-        """Digests that several rows share."""
-        return self.spark.read.parquet(self.level).filter("n > 1")
+        """(digest, first, n) of the digests that several rows share, from the hits alone. A written table."""
+        merged = self.hits().groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+        return write_table(merged.filter("n > 1"), "digest-groups")
+
+
+def _place(size: int) -> Column:
+    return F.pmod(F.xxhash64("digest"), F.lit(size))
+
+
+def raw_key() -> Column:
+    """A cheap key of a row's text as it stands: it finds rows again, and is trusted for nothing else."""
+    return F.concat_ws(":", F.hex(F.xxhash64(text_or_empty())), F.octet_length(text_or_empty())).alias("raw")
 
 
 def _with_groups(entries: DataFrame, groups: DataFrame) -> DataFrame:
-    """entries with first and n of their digest. Hot digests come by a broadcast of at most HOT_SHARE rows, so no task gathers one."""
-    total = entries.count()
-    hot = groups.filter(F.col("n") > total / HOT_SHARE).select("digest", F.col("first").alias("hot_first"), F.col("n").alias("hot_n"))
-    rest = groups.filter(F.col("n") <= total / HOT_SHARE).withColumnRenamed("digest", "rest_digest")
-    out = entries.join(F.broadcast(hot), "digest", "left")
-    # no digest has this key's length, so hot rows find nothing and spread over all partitions
-    key = F.when(F.col("hot_n").isNull(), F.col("digest")).otherwise(F.concat("digest", F.unhex(F.hex("row")), F.lit(b"\0")))
-    out = out.withColumn("key", key).join(rest, F.col("key") == F.col("rest_digest"), "left")
-    return out.select("digest", "sha", "doc_id", "run", "row", F.coalesce("hot_first", "first").alias("first"), F.coalesce("hot_n", "n", F.lit(1)).alias("n"))
+    """entries with first and n (null where a digest has one row)."""
+    return join_counted(entries, groups, "digest").select("digest", "sha", "doc_id", "raw", "run", "row", "first", F.coalesce("n", F.lit(1)).alias("n"))
 
 
 def _verdict(df: DataFrame) -> DataFrame:
-    """From (sha, doc_id, run, row, first, n); a digest of one row has no first."""
+    """From (sha, doc_id, raw, run, row, first, n); a digest of one row has no first."""
     stays = F.coalesce((F.col("first.run") == F.col("run")) & (F.col("first.row") == F.col("row")), F.lit(True))
     keep = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
-    return df.select("doc_id", keep.alias("keep_id"), F.col("n").cast("long").alias("group_size"), stays.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return df.select("doc_id", keep.alias("keep_id"), F.col("n").cast("long").alias("group_size"), stays.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "raw")
 
 
-def exact_groups(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when identical after each run of [\\x20\\x09-\\x0D] became one space; null is the empty text, and all
-    empty texts are one group. Of equal texts the smallest doc_id stays; null doc_ids come last. Of repeated rows (same
-    doc_id and text) exactly one has kept = true. An empty table gives no rows; other columns of docs are not read.
-    """
-    spark = docs.sparkSession
-    index = DigestIndex(spark, digest_bytes=digest_bytes)
+def _verdicts(docs: DataFrame, digest_bytes: int) -> DataFrame:
+    """exact_groups() with the raw key of each row."""
+    index = DigestIndex(docs.sparkSession, digest_bytes=digest_bytes)
     index.flush(docs)
-    index.compact()
     groups, entries = index.groups(), index.entries()
-    # byte verification: a digest's texts are the same if the smallest is the largest; a hot group shrinks to a row per task before the shuffle
-    hits = index.keyed(docs).join(broadcast_if_small(groups.select("digest")), "digest", "left_semi")
+    # byte verification: hits are found again by their raw keys, so only their texts are normalised and hashed once more. A
+    # digest's texts are the same if the smallest is the largest; a hot group shrinks to a row per task before the shuffle
+    raws = join_counted(entries, groups.select("digest", "n"), "digest").filter("n IS NOT NULL").select("raw").distinct()
+    texts = docs.select("doc_id", "text", raw_key()).join(broadcast_if_small(write_table(raws, "hit-keys")), "raw", "left_semi")
+    hits = index.keyed(texts).join(broadcast_if_small(groups.select("digest")), "digest", "left_semi")
     collided = write_table(hits.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high")).filter("low <> high").select("digest"), "collided")
     if collided.isEmpty():
         return _verdict(_with_groups(entries, groups))
     # different texts under one digest: those rows are grouped by their bytes
     clean = _with_groups(entries.join(collided, "digest", "left_anti"), groups.join(collided, "digest", "left_anti"))
-    rows = hits.join(collided, "digest", "left_semi").select("body", "sha", "doc_id", F.lit(0).alias("run"), F.monotonically_increasing_id().alias("row"))
+    rows = hits.join(collided, "digest", "left_semi").select("body", "sha", "doc_id", "raw", F.lit(0).alias("run"), F.monotonically_increasing_id().alias("row"))
     rows = write_table(rows, "collided-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "run", "row")).alias("first")
     exact = rows.groupBy("body").agg(first, F.count("*").alias("n"))
     return _verdict(clean).unionByName(_verdict(rows.join(exact, "body")))
 
 
+def exact_groups(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical after each run of [\x20\\x09-\\x0D] became one space; null is the empty text, and all
+    empty texts are one group. Of equal texts the smallest doc_id stays; null doc_ids come last. Of repeated rows (same
+    doc_id and text) exactly one has kept = true. An empty table gives no rows; other columns of docs are not read.
+    """
+    return _verdicts(docs, digest_bytes).drop("raw")
+
+
 def drop_copies(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
-    """docs, all columns, without the rows that exact_groups does not keep. Of repeated rows any one stays."""
-    key = F.concat_ws(":", F.lower(F.hex("sha")), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
-    verdict = exact_groups(docs, digest_bytes).select(F.concat_ws(":", "text_sha256", F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias("_copy_key"), "kept", "group_size")
-    keys = write_table(verdict.filter("group_size > 1").groupBy("_copy_key").agg(F.max("kept").alias("stays"), F.count("*").alias("n")), "copy-keys")
-    names = docs.columns
-    tagged = docs.withColumn("_copy_key", F.concat_ws(":", F.sha2(normalised(), 256), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
-    out = tagged.join(broadcast_if_small(keys.filter("not stays").select("_copy_key")), "_copy_key", "left_anti")
-    repeated = keys.filter("stays and n > 1").select("_copy_key")
-    if not repeated.isEmpty():
-        several = broadcast_if_small(repeated)
-        out = out.join(several, "_copy_key", "left_anti").unionByName(out.join(several, "_copy_key", "left_semi").dropDuplicates(["_copy_key"]))
-    return out.select(*names)
+    """docs, all columns, without the rows that exact_groups does not keep. Of rows that repeat in doc_id and text any one stays.
+    Columns may have any names."""
+    of_row = F.concat_ws(":", "raw", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+    verdicts = _verdicts(docs.select("doc_id", "text"), digest_bytes).filter("group_size > 1")
+    keys = write_table(verdicts.groupBy(of_row.alias("key")).agg(F.max("kept").alias("stays"), F.count("*").alias("n")), "copy-keys")
+    name, verdict = free_name(docs, "_copy_key"), free_name(docs, "_copy_verdict")
+    tagged = docs.withColumn(name, F.concat_ws(":", raw_key(), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    found = keys.select(F.col("key").alias(name), F.struct("stays", "n").alias(verdict))
+    met = tagged.join(broadcast_if_small(found), name, "left")
+    kept = met.filter(F.coalesce(F.col(f"{verdict}.stays"), F.lit(True)))
+    columns = [f"`{c}`" for c in docs.columns]
+    if keys.filter("stays AND n > 1").isEmpty():
+        return kept.select(*columns)
+    several = F.coalesce(F.col(f"{verdict}.n") > 1, F.lit(False))
+    return kept.filter(~several).unionByName(kept.filter(several).dropDuplicates([name])).select(*columns)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and its group of equal texts. Nulls are empty texts and null doc_ids come last; of repeated rows one is kept;
+    an empty table gives no rows; further columns are not read."""
     return exact_groups(documents(spark, sf_dir))
 
 

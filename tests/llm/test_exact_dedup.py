@@ -64,9 +64,9 @@ def test_a_hot_text_and_clashing_columns(spark):
     got = exact_groups(docs)
     assert got.filter("kept").count() == 2001
     assert {(r.keep_id, r.group_size) for r in got.filter("doc_id % 3 = 0").collect()} == {(0, 1000)}
-    clean = docs.drop("_copy_key")
-    left = drop_copies(clean)
-    assert left.columns == clean.columns and left.count() == 2001 and left.filter("body <> 'mine'").isEmpty()
+    docs = docs.withColumn("raw", F.lit("mine")).withColumn("_copy_verdict", F.lit("mine"))
+    left = drop_copies(docs)
+    assert left.columns == docs.columns and left.filter("_copy_key <> 'mine'").isEmpty() and left.count() == 2001 and left.filter("body <> 'mine'").isEmpty()
 
 
 def test_empty_table(spark):
@@ -75,13 +75,36 @@ def test_empty_table(spark):
 
 
 def test_the_index_takes_several_batches(spark):
-    index = DigestIndex(spark)
-    index.flush(spark.createDataFrame(rows((5, "a"), (6, "b")), SCHEMA))
-    index.flush(spark.createDataFrame(rows((2, "a"), (9, "c")), SCHEMA))
-    index.compact()
-    assert [(r["first"].doc_id, r.n) for r in index.groups().collect()] == [(2, 2)]
-    assert index.entries().count() == 4
-    for run in index.runs:  # sorted runs
-        for name in {r.f for r in spark.read.parquet(run).select(F.input_file_name().alias("f")).collect()}:
-            digests = [bytes(r.digest) for r in spark.read.parquet(name).collect()]
+    index = DigestIndex(spark, memtables=2, fanout=3)
+    want = defaultdict(list)
+    rng = random.Random(5)
+    for batch in range(4):
+        data = [(1000 * (4 - batch) + i, rng.choice([f"text {rng.randrange(60)}", f"own {batch} {i}"])) for i in range(80)]
+        for i, t in data:
+            want[t].append(i)
+        index.flush(spark.createDataFrame(rows(*data), SCHEMA).repartition(4))
+        got = {(r["first"].doc_id, r.n) for r in index.groups().collect()}
+        assert got == {(min(ids), len(ids)) for ids in want.values() if len(ids) > 1}
+    assert [len(x) for x in index.levels] == [1, 1] and index.entries().count() == 320  # three batches became one run
+    merged = spark.read.parquet(index.levels[1][0].runs)
+    assert merged.select("run").distinct().count() == 1 and merged.select("digest").distinct().count() == merged.count()
+    for level in (x for k in index.levels for x in k):  # sorted runs
+        for name in {r.f for r in spark.read.parquet(level.runs).select(F.input_file_name().alias("f")).collect()}:
+            digests = [(r.run, bytes(r.digest)) for r in spark.read.parquet(name).collect()]
             assert digests == sorted(digests)
+
+
+def test_filters_are_read_and_prune(spark):
+    """Hits are all digests that runs share and few others; an emptied filter makes hits of other runs vanish."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.when(F.col("id") % 10 == 0, F.floor(F.col("id") / 20)).otherwise(F.col("id") + 10_000)).alias("text")).repartition(8)
+    index = DigestIndex(spark)
+    index.flush(docs)
+    runs = index._runs(index.levels[0])
+    shared = runs.groupBy("digest").agg(F.countDistinct("run").alias("k"), F.sum("n").alias("n"))
+    assert index.groups().count() == shared.filter("n > 1").count() == 200
+    hits = index.hits().count()
+    assert hits < 0.45 * runs.count()
+    level = index.levels[0][0]
+    spark.read.parquet(level.filters).limit(0).write.mode("overwrite").parquet(level.filters + "-none")
+    level.filters += "-none"
+    assert index.hits().count() == runs.filter("n > 1").count() < hits
