@@ -107,6 +107,11 @@ def text_or_empty(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def text_digest(c: str | Column = "text") -> Column:
+    """128 bits of the SHA-256 of a text; null counts as empty."""
+    return F.unhex(F.substring(F.sha2(text_or_empty(c), 256), 1, 32))
+
+
 def word_count(c: str | Column = "text") -> Column:
     """Number of words as a long; null counts as empty."""
     return F.regexp_count(text_or_empty(c), F.lit(WORD)).cast("long")

@@ -14,10 +14,10 @@ unless it is linked already. Groups in which nearly all pairs pass the filter ar
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, components, free_name, is_small, join_counted, per_document, text_or_empty, write_table
+from .common import broadcast_if_small, components, free_name, is_small, join_counted, per_document, text_digest, text_or_empty, write_table
 from .simhash import fingerprint, shingle_hashes
 
 PRINT_BITS, SEGMENTS, CHAIN = 256, 16, 4
@@ -55,11 +55,6 @@ class Chain:
         return out
 
 
-def text_node() -> Column:
-    """Documents with the same text are one node: 128 bits of its SHA-256."""
-    return F.unhex(F.substring(F.sha2(text_or_empty(), 256), 1, 32))
-
-
 def shingle_set(text: str, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, size))
 
@@ -116,7 +111,7 @@ def _cuts(table, keys: int) -> np.ndarray:
     return np.append(np.flatnonzero(change), table.num_rows)
 
 
-def _candidates(chain: Chain, ratio: tuple[int, int], visits: bool):
+def _candidates(chain: Chain, ratio: tuple[int, int], visits: bool, pairs_each: int = PAIRS_EACH):
     """Of sorted rows (key, part, node, n, fp[, label, guest]): candidate pairs (a, b), or, where a part has very many, its members that are in one (key, part, a)."""
 
     def run(batches):
@@ -136,7 +131,7 @@ def _candidates(chain: Chain, ratio: tuple[int, int], visits: bool):
                 if hi - lo < 2:
                     continue
                 a, b = _part_pairs(n[lo:hi], prints[lo:hi], chain, ratio, guest[lo:hi] if visits else None, label[lo:hi] if visits else None)
-                if visits or len(a) > PAIRS_EACH * (hi - lo):
+                if visits or len(a) > pairs_each * (hi - lo):
                     flat.append(lo + np.unique(np.concatenate([a, b])))
                 else:
                     pair_a.append(a + lo)
@@ -230,8 +225,8 @@ def _with_parts(posts: DataFrame, large: DataFrame, total: int) -> DataFrame:
     return met.select(*posts.columns, F.coalesce("parts", F.lit(1)).alias("parts"), F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"))
 
 
-def similar_nodes(docs: DataFrame, shingle: int = 5, ratio: tuple[int, int] = (4, 5), chain: Chain | None = None, common: int = COMMON, part_docs: int = PART_DOCS) -> DataFrame:
-    """(node, root) for every distinct text that is linked to another: root is its component's smallest node (see text_node).
+def similar_nodes(docs: DataFrame, shingle: int = 5, ratio: tuple[int, int] = (4, 5), chain: Chain | None = None, common: int = COMMON, part_docs: int = PART_DOCS, pairs_each: int = PAIRS_EACH) -> DataFrame:
+    """(node, root) for every distinct text that is linked to another: root is its component's smallest node (see text_digest).
 
     Two texts link when their sets of `shingle`-word shingles (A-Z lower-cased; fewer words: the whole sequence; none: one
     empty sequence, equal to any other) have a Jaccard similarity of ratio[0]/ratio[1] or more.
@@ -249,7 +244,7 @@ def similar_nodes(docs: DataFrame, shingle: int = 5, ratio: tuple[int, int] = (4
             sample.append(h[:SAMPLE].view(np.int64))
         return n, prints, sample
 
-    source = docs.select(text_node().alias("node"), text_or_empty().alias("text"))
+    source = docs.select(text_digest().alias("node"), text_or_empty().alias("text"))
     prints = per_document(source, prints_of, "n int, fp binary, sample array<long>", carry=("node",))
     # equal texts: one of them; texts without words have no shingle and are all alike
     prints = write_table(prints, "prints")
@@ -273,7 +268,7 @@ def similar_nodes(docs: DataFrame, shingle: int = 5, ratio: tuple[int, int] = (4
     dealt = dealt.withColumn("part", F.explode(F.when((F.col("parts") > 1) & everywhere, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))))
     columns = "key part node n fp".split()
     ready = dealt.select(*columns).repartition(n_parts, "key", "part").sortWithinPartitions("key", "part")
-    found = write_table(ready.mapInArrow(_candidates(chain, ratio, False), "key long, part int, a binary, b binary"), "candidates")
+    found = write_table(ready.mapInArrow(_candidates(chain, ratio, False, pairs_each), "key long, part int, a binary, b binary"), "candidates")
     pairs = write_table(found.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     dense = found.filter("b IS NULL").select("key", "part", F.col("a").alias("node"))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(dense.select("node"))
@@ -325,7 +320,7 @@ def near_leads(docs: DataFrame, shingle: int = 5, ratio: tuple[int, int] = (4, 5
     """(node, n_rows, lead_id, lead_node, n_lead) for every text that several rows have or that is linked to another: the row
     that stays of its group is the one with lead_id (null: none has an id) and lead_node, and there are n_lead such rows."""
     roots = write_table(similar_nodes(docs, shingle, ratio, **options), "near-roots")
-    rows = write_table(docs.select(text_node().alias("node"), "doc_id").groupBy("node", "doc_id").agg(F.count("*").alias("n")), "near-rows")
+    rows = write_table(docs.select(text_digest().alias("node"), "doc_id").groupBy("node", "doc_id").agg(F.count("*").alias("n")), "near-rows")
     per_node = rows.groupBy("node").agg(F.sum("n").alias("n_rows"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "n")).alias("first"))
     per_node = per_node.join(roots, "node", "left")
     per_node = write_table(per_node.filter("n_rows > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "node")), "near-groups")
@@ -343,7 +338,7 @@ def drop_near(docs: DataFrame, shingle: int = 5, ratio: tuple[int, int] = (4, 5)
     """
     leads = write_table(near_leads(docs.select("doc_id", "text"), shingle, ratio, **options), "near-leads")
     node, lead = free_name(docs, "_node"), free_name(docs, "_lead")
-    tagged = docs.withColumn(node, text_node())
+    tagged = docs.withColumn(node, text_digest())
     found = leads.select(F.col("node").alias(node), F.struct("lead_id", "lead_node", "n_lead").alias(lead), "n_rows")
     if is_small(leads):
         met = tagged.join(F.broadcast(found.drop("n_rows")), node, "left")

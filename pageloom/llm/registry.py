@@ -13,8 +13,11 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_lm": lm.op9_lm,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "secrets_base": secrets.secrets_base,
 }
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
     "op8_mixing": mixing.ORACLE_SQL,
+    "op10_substring_dedup": substring_dedup.ORACLE_SQL,
+    "secrets_base": secrets.BASE_SQL,
 }

@@ -1,12 +1,14 @@
 """Removal of repeated passages: every window of WINDOW words that an earlier document has as well goes.
 
 Equal windows share the content of their smallest ANCHOR-word hash, so windows are dealt by that anchor: consecutive
-windows of a document with one anchor are a segment. An anchor that one document alone has is done with; one whose
-segments are all equal needs only the smallest document. The distinct segments of all other anchors are sharded by
-anchor, and each shard is a compressed FM-index over words: a wavelet matrix of the Burrows-Wheeler transform, packed bits
-with block counts. Segments are streamed through it by backward search, all in step; where the matching length reaches
-the window, the interval of suffixes that agree in a whole window names the smallest document. Anchors with very many
-distinct segments are summed by window hash instead of meeting in one shard, which is exact as well.
+windows of a document with one anchor are a segment. An anchor that one document alone has is done with. The segments of
+the others are told apart by 128 bits of the BLAKE2b of their words, which stands for the words: equal segments need only
+their smallest document. Where an anchor has several distinct segments, these are sharded by anchor, and each shard is a
+compressed FM-index over words: a wavelet matrix of the Burrows-Wheeler transform, packed bits with block counts, and for
+each run of suffixes that agree in a whole window the smallest document; the suffix array is not kept. Segments are
+streamed through it by backward search, all in step, and where the matching length reaches the window, the interval of
+suffixes names that document. An anchor whose distinct segments outgrow one index is resolved by the digests of its
+windows instead, which says the same and may be spread over any number of tasks.
 """
 
 from __future__ import annotations
@@ -17,14 +19,14 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import broadcast_if_small, documents, text_or_empty, write_table
+from .common import broadcast_if_small, documents, join_counted, text_digest, text_or_empty, write_table
 
 WINDOW, ANCHOR = 50, 4
-#: Words of one FM-index; complete anchors fill it, so one anchor may exceed it by HOT_SEGMENTS segments at most.
+#: Words of one FM-index. Complete anchors fill it, and none of them has more, so it holds less than twice as many.
 SHARD_WORDS = 400_000
-HOT_SEGMENTS = 2_000
-NEVER = (1 << 63) - 1  # the order of a null doc_id: after all others
+NEVER = (1 << 63) - 1  # after all documents
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -103,9 +105,10 @@ class BitRank:
 
 
 class FMIndex:
-    """Of sequences of symbols 1..sigma. A sequence's end sorts before all symbols, ends in the order of sequences."""
+    """Of sequences of symbols 1..sigma, with a value for each place of them and their ends. A sequence's end sorts before all
+    symbols, ends in the order of sequences."""
 
-    def __init__(self, sequences: list[np.ndarray], sigma: int, window: int = WINDOW):
+    def __init__(self, sequences: list[np.ndarray], sigma: int, values: np.ndarray, window: int = WINDOW):
         m, longest = len(sequences), max(map(len, sequences))
         parts = []
         for j, s in enumerate(sequences):
@@ -127,7 +130,6 @@ class FMIndex:
             rank, k = fresh, 2 * k
             if k > longest and k > largest:
                 break
-        self.suffixes = order
         before = np.concatenate([text[-1:], text[:-1]])[order]
         bwt = np.where(before < m, 0, before - m + 1)
         self.first = np.searchsorted(np.sort(bwt), np.arange(sigma + 2))
@@ -135,8 +137,9 @@ class FMIndex:
         i, j, rest = order[1:], order[:-1], window - largest
         at = lambda x: part[np.minimum(x + rest, n - 1)]
         same = (part[i] == part[j]) & (at(i) == at(j)) & (np.maximum(i, j) + rest < n)
-        self.runs = np.concatenate([[True], ~same])
-        self.run_rank = BitRank(self.runs)
+        runs = np.concatenate([[True], ~same])
+        self.run_rank = BitRank(runs)
+        self.minima = np.minimum.reduceat(values[order], np.flatnonzero(runs))
         # wavelet matrix
         self.levels, self.zeros, value = [], [], bwt
         for b in range(int(sigma).bit_length() - 1, -1, -1):
@@ -158,9 +161,8 @@ class FMIndex:
         base, first = self.base[c], self.first[c]
         return first + self._descend(c, low) - base, first + self._descend(c, high) - base
 
-    def window_minima(self, queries: list[np.ndarray], value_of_suffix: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
+    def window_minima(self, queries: list[np.ndarray], window: int = WINDOW) -> list[np.ndarray]:
         """For each window of each query (whose symbols all occur) the smallest value among suffixes that begin with it."""
-        minima = np.minimum.reduceat(value_of_suffix[self.suffixes], np.flatnonzero(self.runs))
         order = sorted(range(len(queries)), key=lambda q: -len(queries[q]))
         size = np.array([len(queries[q]) for q in order])
         width = int(size[0])
@@ -174,7 +176,7 @@ class FMIndex:
             low[:live], high[:live] = self.extend(grid[:live, width - 1 - t], low[:live], high[:live])
             if t + 1 >= window:  # the matching statistic is above the threshold
                 hit = np.flatnonzero(high[:live] > low[:live])
-                found[hit, width - 1 - t] = minima[self.run_rank.ones(low[hit] + 1) - 1]
+                found[hit, width - 1 - t] = self.minima[self.run_rank.ones(low[hit] + 1) - 1]
         out: list = [None] * len(queries)
         for row, q in enumerate(order):
             n = len(queries[q])
@@ -186,9 +188,8 @@ def shard_minima(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     """For each window of each segment (words joined by spaces) the smallest of docs among segments that have it."""
     ids: dict[bytes, int] = {}
     sequences = [np.array([ids.setdefault(w, len(ids) + 1) for w in t.split(b" ")], np.int64) for t in texts]
-    index = FMIndex(sequences, len(ids))
-    owner = np.repeat(docs, [len(s) + 1 for s in sequences])
-    return index.window_minima(sequences, owner)
+    index = FMIndex(sequences, len(ids), np.repeat(docs, [len(s) + 1 for s in sequences]))
+    return index.window_minima(sequences)
 
 
 def _chunks(batch, column: int, least: int = 1 << 21):
@@ -206,38 +207,64 @@ def _chunks(batch, column: int, least: int = 1 << 21):
         at = end
 
 
-def _to_segments(batches):
-    import pyarrow as pa
+def _to_segments(content_bits: int):
+    def run(batches):
+        import pyarrow as pa
 
-    for batch in batches:
-        for a, b in _chunks(batch, 2):
-            words = [words_of(t) for t in batch.column(2).slice(a, b - a).to_pylist()]
-            counts = np.array([len(w) for w in words], np.int64)
-            doc, start, n, anchor, content = segments(counts, hash_words([x for w in words for x in w]))
-            if len(doc):
-                at = pa.array(doc + a)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(content)],
-                    names=["d", "tkey", "start", "n", "anchor", "content"],
-                )
-
-
-def _to_words(batches):
+        mask = np.int64((1 << content_bits) - 1 if content_bits < 64 else -1)
+        for batch in batches:
+            for a, b in _chunks(batch, 2):
+                words = [words_of(t) for t in batch.column(2).slice(a, b - a).to_pylist()]
+                counts = np.array([len(w) for w in words], np.int64)
+                doc, start, n, anchor, content = segments(counts, hash_words([x for w in words for x in w]))
+                if len(doc):
+                    at = pa.array(doc + a)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(at), batch.column(1).take(at), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(content & mask)],
+                        names=["d", "tkey", "start", "n", "anchor", "content"],
+                    )
+
+    return run
+
+
+def digest(words: list[bytes]) -> bytes:
+    """Words have no spaces, so equal digests mean equal words."""
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+_FOUND = "anchor long, content binary, d long, tkey binary, start int, n int, words binary"
+
+
+def _to_contents(batches):
+    """Of (d, tkey, text, places): each place with its digest, and its words if its anchor has several contents and the task has not
+    given them yet."""
     import pyarrow as pa
 
+    names = [x.split()[0] for x in _FOUND.split(", ")]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]] for x in _FOUND.split(", ")]
+    given: set[bytes] = set()
     for batch in batches:
-        for text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = words_of(text)
-            rows = [(p["anchor"], p["content"], p["d"], p["hot"], b" ".join(words[p["start"] : p["start"] + p["n"]])) for p in places]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], names=["anchor", "content", "d", "hot", "words"])
+        for d, tkey, text, places in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            words, rows = words_of(text), []
+            for p in places:
+                part = b" ".join(words[p["start"] : p["start"] + p["n"]])
+                content = hashlib.blake2b(part, digest_size=16).digest()
+                give = not p["one"] and content not in given
+                if give:
+                    if len(given) > 1_000_000:  # a task's memory is bounded; giving words twice does no harm
+                        given.clear()
+                    given.add(content)
+                rows.append((p["anchor"], content, d, tkey, p["start"], p["n"], part if give else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
 
 def _to_minima(batches):
+    """Of sorted (anchor, content, low, words): (content, minima), by an FM-index for each SHARD_WORDS words of whole anchors."""
     import pyarrow as pa
 
     def solve(anchor, content, docs, texts):
         minima = shard_minima(texts, np.array(docs, np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(content, pa.int64()), pa.array(minima, pa.list_(pa.int64()))], names=["anchor", "content", "minima"])
+        return pa.RecordBatch.from_arrays([pa.array(content, pa.binary()), pa.array(minima, pa.list_(pa.int64()))], names=["content", "minima"])
 
     held: list[tuple] = []
     total = 0
@@ -253,78 +280,95 @@ def _to_minima(batches):
 
 
 def _to_windows(batches):
+    """Of (content, low, words): a row for each window, with its place and digest."""
     import pyarrow as pa
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            texts = [t.split(b" ") for t in part.column(3).to_pylist()]
-            counts = np.array([len(t) for t in texts])
-            windows = counts - WINDOW + 1
-            doc = np.repeat(np.arange(len(texts)), windows)
-            place = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)
-            first = (np.cumsum(counts) - counts)[doc] + place
-            h = RangeHash(hash_words([w for t in texts for w in t])).of(first, first + WINDOW).astype(np.int64)
-            i = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(i), part.column(1).take(i), part.column(2).take(i), pa.array(place.astype(np.int32)), pa.array(h)], names=["anchor", "content", "d", "place", "window"])
-
-
-def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """(d, tkey, ranges array<struct<a, b>>): words [a, b) of documents that windows of earlier documents cover. d is doc_id,
-    NEVER for null; tkey a hash of the text. From a table keyed (d, tkey, text)."""
-    seg = write_table(docs.mapInArrow(_to_segments, "d long, tkey long, start int, n int, anchor long, content long"), "segments")
-    groups = seg.groupBy("anchor").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.min("content").alias("c0"), F.max("content").alias("c1"))
-    groups = write_table(groups.filter("low < high"), "anchors")
-    shared = seg.join(groups.select("anchor", "low", (F.col("c0") == F.col("c1")).alias("one")), "anchor")
-    shared = write_table(shared, "shared")
-    plain = shared.filter("one AND d > low").select("d", "tkey", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
-    mixed = shared.filter("NOT one")
-    places = mixed.groupBy("anchor", "content").agg(F.min(F.struct("d", "tkey", "start", "n")).alias("p"))
-    places = write_table(places.select("anchor", "content", "p.*"), "places")
-    many = places.groupBy("anchor").agg(F.count("*").alias("m")).filter(F.col("m") > HOT_SEGMENTS).select("anchor", F.lit(True).alias("is_hot"))
-    many = write_table(many, "hot-anchors")
-    some_hot = not many.isEmpty()
-    flagged = places.join(broadcast_if_small(many), "anchor", "left") if some_hot else places.withColumn("is_hot", F.lit(False))
-    wanted = flagged.groupBy("d", "tkey").agg(F.collect_list(F.struct("anchor", "content", "d", F.coalesce("is_hot", F.lit(False)).alias("hot"), "start", "n")).alias("places"))
-    wanted = write_table(wanted, "wanted")
-    met = docs.join(broadcast_if_small(wanted), ["d", "tkey"])
-    texts = write_table(met.select("text", "places").mapInArrow(_to_words, "anchor long, content long, d long, hot boolean, words binary"), "segment-words")
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cool = texts.filter("NOT hot").select("anchor", "content", "d", "words")
-    minima = cool.repartition(parts, "anchor").sortWithinPartitions("anchor", "content").mapInArrow(_to_minima, "anchor long, content long, minima array<long>")
-    if some_hot:
-        windows = write_table(texts.filter("hot").select("anchor", "content", "d", "words").mapInArrow(_to_windows, "anchor long, content long, d long, place int, window long"), "hot-windows")
-        least = windows.groupBy("window").agg(F.min("d").alias("low"))
-        back = windows.select("anchor", "content", "place", "window").join(least, "window").groupBy("anchor", "content").agg(F.array_sort(F.collect_set(F.struct("place", "low"))).alias("w"))
-        minima = minima.unionByName(back.select("anchor", "content", F.col("w.low").alias("minima")))
-    minima = write_table(minima, "minima")  # repeated rows of a document give a segment's minima more than once, which changes no range
-    hits = mixed.join(minima, ["anchor", "content"])
-    hits = hits.withColumn("w", F.expr("filter(transform(minima, (m, i) -> IF(m < d, i, -1)), i -> i >= 0)")).filter("size(w) > 0")
-    # windows of one segment that are hit overlap, so the words between are covered too
-    partly = hits.select("d", "tkey", (F.col("start") + F.element_at("w", 1)).alias("a"), (F.col("start") + F.element_at("w", -1) + WINDOW).alias("b"))
-    return plain.unionByName(partly).groupBy("d", "tkey").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
+        for content, low, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            words = text.split(b" ")
+            m = len(words) - WINDOW + 1
+            windows = [digest(words[i : i + WINDOW]) for i in range(m)]
+            yield pa.RecordBatch.from_arrays([pa.array([content] * m, pa.binary()), pa.array([low] * m, pa.int64()), pa.array(np.arange(m, dtype=np.int32)), pa.array(windows, pa.binary())], names=["content", "low", "place", "window"])
+
+
+def _once(docs: DataFrame) -> DataFrame:
+    """docs without repeated rows of (d, tkey)."""
+    keys = docs.groupBy("d", "tkey").agg(F.count("*").alias("k")).filter("k > 1")
+    keys = write_table(keys, "repeated-rows")
+    if keys.isEmpty():
+        return docs
+    again = broadcast_if_small(keys.select("d", "tkey"))
+    first = docs.join(again, ["d", "tkey"], "left_semi").groupBy("d", "tkey").agg(F.min("text").alias("text"))
+    return docs.join(again, ["d", "tkey"], "left_anti").unionByName(first)
+
+
+def repeated_ranges(docs: DataFrame, shard_words: int = SHARD_WORDS, content_bits: int = 64) -> DataFrame:
+    """(d, tkey, ranges array<struct<a, b>>): words [a, b) of documents that windows of earlier documents cover. From a table
+    keyed by _keyed(). content_bits is the width of the hash that tells at first whether an anchor's segments are all alike."""
+    docs = _once(docs)
+    seg = write_table(docs.mapInArrow(_to_segments(content_bits), "d long, tkey binary, start int, n int, anchor long, content long"), "segments")
+    anchors = seg.groupBy("anchor").agg(F.min("d").alias("low"), F.max("d").alias("high"), (F.min("content") == F.max("content")).alias("one"), F.count("*").alias("k"))
+    anchors = write_table(anchors.filter("low < high").select("anchor", "one", "k"), "anchors")
+    found, left = None, anchors
+    while True:
+        shared = join_counted(seg, left, "anchor", "k").filter("k IS NOT NULL")
+        wanted = write_table(shared.groupBy("d", "tkey").agg(F.collect_list(F.struct("anchor", "start", "n", "one")).alias("places")), "wanted")
+        met = docs.join(broadcast_if_small(wanted), ["d", "tkey"]).select("d", "tkey", "text", "places")
+        new = write_table(met.mapInArrow(_to_contents, _FOUND), "segment-digests")
+        found = new if found is None else found.join(left.select("anchor"), "anchor", "left_anti").unionByName(new)
+        # segments that the cheap hash called one but whose digests differ are looked at again, with their words
+        unequal = new.join(anchors.filter("one"), "anchor", "left_semi").groupBy("anchor").agg(F.min("content").alias("c0"), F.max("content").alias("c1")).filter("c0 <> c1") if left is anchors else None
+        if unequal is None:
+            break
+        unequal = write_table(unequal.select("anchor"), "unequal-anchors")
+        if unequal.isEmpty():
+            break
+        left = anchors.join(unequal, "anchor").withColumn("one", F.lit(False))
+    contents = found.groupBy("anchor", "content").agg(F.min("d").alias("low"), F.max("words").alias("words"), F.count("*").alias("m"), F.first("n").alias("n"))
+    contents = write_table(contents, "contents")
+    kinds = write_table(contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).filter("kinds > 1"), "kinds")
+    several = write_table(join_counted(contents.select("anchor", "content", "low", "words"), kinds, "anchor", "kinds", contents.count()).filter("kinds IS NOT NULL"), "several")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    narrow = several.filter(F.col("total") <= shard_words).select("anchor", "content", "low", "words")
+    minima = narrow.repartition(parts, "anchor").sortWithinPartitions("anchor", "content").mapInArrow(_to_minima, "content binary, minima array<long>")
+    wide = several.filter(F.col("total") > shard_words)
+    if not wide.isEmpty():
+        windows = write_table(wide.select("content", "low", "words").mapInArrow(_to_windows, "content binary, low long, place int, window binary"), "windows")
+        least = write_table(windows.groupBy("window").agg(F.min("low").alias("least"), F.count("*").alias("k")), "window-minima")
+        back = join_counted(windows.select("content", "place", "window"), least, "window", "k").groupBy("content").agg(F.array_sort(F.collect_list(F.struct("place", "least"))).alias("w"))
+        minima = minima.unionByName(back.select("content", F.col("w.least").alias("minima")))
+    minima = write_table(minima, "minima")
+    known = write_table(contents.select("content", "low", "m").join(minima, "content", "left"), "known")
+    rows = join_counted(found.select("d", "tkey", "start", "n", "content"), known, "content", "m", found.count())
+    # of a lone content all windows have its smallest document; windows of one segment that are hit overlap, so the words between are covered too
+    alone = F.when(F.col("low") < F.col("d"), F.sequence(F.lit(0), F.col("n") - WINDOW))
+    w = F.coalesce(F.when(F.col("minima").isNull(), alone).otherwise(F.expr("filter(transform(minima, (m, i) -> IF(m < d, i, -1)), i -> i >= 0)")), F.array().cast("array<int>"))
+    hits = rows.select("d", "tkey", "start", w.alias("w")).filter("size(w) > 0")
+    hits = hits.select("d", "tkey", F.struct((F.col("start") + F.element_at("w", 1)).alias("a"), (F.col("start") + F.element_at("w", -1) + WINDOW).alias("b")).alias("r"))
+    return hits.groupBy("d", "tkey").agg(F.collect_set("r").alias("ranges"))
 
 
 def _keyed(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NEVER)).alias("d"), F.xxhash64(text_or_empty()).alias("tkey"), text_or_empty().alias("text"), *more)
+    """d, tkey, text: d orders documents as doc_id does, null last (of all numbers only the two smallest 64-bit ones share a d);
+    tkey is a digest of the text."""
+    d = F.col("doc_id").cast("long")
+    order = F.when(d.isNull(), NEVER).when(d > -(1 << 63), d - 1).otherwise(d)
+    return docs.select(order.alias("d"), text_digest().alias("tkey"), text_or_empty().alias("text"), *more)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_text, the words that stay joined by single spaces.
 
     A word goes if a window of 50 words that covers it also starts in a document with a smaller doc_id. Null texts have no
     words; a text of fewer than 50 words has no window and keeps all. A null doc_id counts as larger than every other, and
     rows with the same doc_id are not earlier than each other. Only doc_id and text are read.
     """
-    return _apply(docs, "n_words long, n_removed long, kept_text string", lambda kept: kept.decode())
-
+    return _apply(docs, "n_words long, n_removed long, kept_text string", lambda kept: kept.decode(), **options)
 
-def _apply(docs: DataFrame, fields: str, last) -> DataFrame:
-    from pyspark.sql.types import StructType
 
-    ranges = write_table(repeated_ranges(_keyed(docs)), "ranges")
-    out = StructType([docs.schema["doc_id"], *StructType.fromDDL(fields).fields])
+def _apply(docs: DataFrame, fields: str, last, **options) -> DataFrame:
+    ranges = write_table(repeated_ranges(_keyed(docs), **options), "ranges")
+    out = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(fields).fields])
     names = [f.name for f in out.fields]
 
     def cut(batches):
@@ -355,4 +399,19 @@ def _apply(docs: DataFrame, fields: str, last) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, removed words and digest of what stays. Null texts have no words, null doc_ids come after all others,
+    rows with the same doc_id (ties, repeats) are not earlier than each other; an empty table gives no rows; further columns
+    are not read."""
     return _apply(documents(spark, sf_dir), "n_words long, n_removed long, kept_sha256 string", lambda kept: hashlib.sha256(kept).hexdigest())
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT rid, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT rid, doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
+gone AS (SELECT DISTINCT rid, unnest(generate_series(i, i + 49)) AS j
+   FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS low FROM win) WHERE low IS NOT NULL AND (doc_id IS NULL OR low < doc_id)),
+words AS (SELECT rid, unnest(w) AS word, unnest(generate_series(1, len(w))) AS j FROM d),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY j) AS body FROM (SELECT * FROM words ANTI JOIN gone USING (rid, j)) GROUP BY rid),
+n AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM d LEFT JOIN n USING (rid) LEFT JOIN kept USING (rid)
+"""

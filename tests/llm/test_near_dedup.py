@@ -69,7 +69,6 @@ def test_groups_equal_brute_force(spark, options, monkeypatch):
 @pytest.mark.parametrize("limit", [8, 0])
 def test_one_large_group_of_near_copies(spark, limit, monkeypatch):
     """A chain and a cloud of copies around one text: parts see but some of them, and visits link the rest."""
-    monkeypatch.setattr(nd, "PAIRS_EACH", limit)
     monkeypatch.setattr(nd, "SHARED_DOCS", 1)
     rnd = random.Random(2)
     base = [f"w{i}" for i in range(100)]
@@ -84,7 +83,7 @@ def test_one_large_group_of_near_copies(spark, limit, monkeypatch):
         rows.append((i, " ".join(step)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for part_docs in (2048, 7):
-        assert sorted(r.doc_id for r in nd.drop_near(df, common=20, part_docs=part_docs).collect()) == brute(rows)
+        assert sorted(r.doc_id for r in nd.drop_near(df, common=20, part_docs=part_docs, pairs_each=limit).collect()) == brute(rows)
 
 
 def test_empty_table(spark):
