@@ -139,6 +139,8 @@ class Codec:
         self.lengths = np.zeros(max(self.bytes_of) + 1, np.int64)
         for i, b in self.bytes_of.items():
             self.lengths[i] = len(b)
+        self.first_byte = np.cumsum(self.lengths) - self.lengths  # where each token's bytes begin in all_bytes
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(len(self.lengths))), np.uint8)
         self.pairs = {}
         for b, i in self.ranks.items():
             for k in range(1, len(b)):
@@ -211,13 +213,25 @@ class Codec:
             at = end + 1
         return out
 
-    def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))
-
     def byte_ends(self, packed: bytes) -> np.ndarray:
         """Where each token ends in the text's UTF-8 bytes."""
         return np.cumsum(self.lengths[np.frombuffer(packed, "<u4")])
 
+    def decode(self, packed: bytes, byte_ends: np.ndarray | None = None, begin: int = 0, end: int | None = None) -> bytes:
+        """The bytes [begin, end) of the text. The offsets retained from encoding place each token; only tokens in the range are touched."""
+        ids = np.frombuffer(packed, "<u4")
+        ends = self.byte_ends(packed) if byte_ends is None else byte_ends
+        size = int(ends[-1]) if len(ends) else 0
+        end = size if end is None else min(end, size)
+        if begin >= end:
+            return b""
+        first, last = int(np.searchsorted(ends, begin, "right")), int(np.searchsorted(ends, end - 1, "right")) + 1
+        ids, ends = ids[first:last], ends[first:last]
+        n = self.lengths[ids]
+        starts = ends - n
+        at = np.repeat(self.first_byte[ids] - starts, n) + np.arange(int(starts[0]), int(ends[-1]))
+        return self.all_bytes[at[begin - int(starts[0]) : end - int(starts[0])]].tobytes()
+
 
 _codecs: dict[str, Codec] = {}
 
@@ -251,23 +265,28 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
         c = codec(ranks.value)
         packed = c.encode(texts)
         ids = [np.frombuffer(p, "<u4").astype(np.int32) for p in packed]
-        return [ids, [c.byte_ends(p).astype(np.int32) for p in packed], [c.decode(p).decode("utf-8", "replace") for p in packed]]
+        ends = [c.byte_ends(p) for p in packed]
+        return [ids, [e.astype(np.int32) for e in ends], [c.decode(p, e).decode("utf-8", "replace") for p, e in zip(packed, ends)]]
 
     return per_document(docs, compute, "ids array<int>, byte_ends array<int>, decoded string")
 
 
 def digest_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256, of the same encoding and decoding; ids never leave the worker."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and offsets_sha256 (of the tokens' ends in UTF-8 bytes, as little-endian
+    unsigned 64-bit integers), of the same encoding and decoding; ids never leave the worker. A row per row of docs."""
     ranks = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def compute(texts):
         c = codec(ranks.value)
         packed = c.encode(texts)
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        return [[len(p) // 4 for p in packed], [sha(p) for p in packed], [sha(c.decode(p)) for p in packed]]
+        ends = [c.byte_ends(p) for p in packed]
+        return [[len(p) // 4 for p in packed], [sha(p) for p in packed], [sha(c.decode(p, e)) for p, e in zip(packed, ends)], [sha(e.astype("<u8").tobytes()) for e in ends]]
 
-    return per_document(docs, compute, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return per_document(docs, compute, "n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens as digests. Null texts are empty; repeated rows are encoded each; an empty table gives no rows;
+    further columns are not read."""
     return digest_documents(documents(spark, sf_dir))

@@ -206,4 +206,6 @@ def near_groups(docs: DataFrame, shingle: int = 3, index=None, carry: tuple[str,
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and group. Null texts and texts without words have the fingerprint zero; repeated rows and ties
+    are linked; null doc_ids are never smallest; an empty table gives no rows; further columns are not read."""
     return near_groups(documents(spark, sf_dir)).select("doc_id", F.col("fp").alias("fingerprint"), "component_id")

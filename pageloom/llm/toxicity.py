@@ -173,7 +173,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFram
     """(doc_id, text, toxic, fold 0..7): labelled documents that are not held out, at most max_rows, the first by a hash of doc_id."""
     chosen = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out())
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).withColumn("fold", _bucket("fold", 8).cast("int"))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_rows rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_rows rows
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), F.first("fold").alias("fold"))  # of repeated doc_ids one text
 
 
 def learn_lexicon(rows: DataFrame, size: int = 4000) -> Lexicon:
@@ -211,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
     rows = training_rows(docs, labels, max_rows)
     lexicon = learn_lexicon(rows)
     vectors = per_document(rows, lambda texts: [[features(t, lexicon) for t in texts]], "x array<double>", carry=("toxic", "fold"))
-    got = vectors.collect()  # at most max_rows rows of len(FEATURES) numbers (repeated doc_ids repeat)
+    got = vectors.collect()  # at most max_rows rows of len(FEATURES) numbers
     got.sort(key=lambda r: (r.fold, r.toxic, r.x))
     x, y, fold = np.array([r.x for r in got], float).reshape(len(got), len(FEATURES)), np.array([r.toxic > 0 for r in got], float), np.array([r.fold for r in got], int)
     use = fold >= 4
@@ -255,6 +256,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score. Null texts score as empty ones; repeated rows and ties score alike; a null doc_id is not held out and
+    has no label; an empty table gives no rows; further columns are not read."""
     docs = documents(spark, sf_dir)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_documents(docs, model).select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

@@ -48,3 +48,16 @@ def test_nulls_empties_and_clashing_columns(spark):
     assert bpe.digest_documents(df.limit(0)).count() == 0
     got = {r.doc_id: r for r in bpe.encode_documents(df).collect()}
     assert got[None].decoded == "hi 'll" and got[None].byte_ends[-1] == 6
+
+
+def test_ranges_decode_by_offsets(both):
+    own, _ = both
+    rnd = random.Random(9)
+    for text in ("", "a", "Größe und 漢字 😀 — don't " * 7, "x" * 300):
+        raw, packed = text.encode(), own.encode([text])[0]
+        ends = own.byte_ends(packed)
+        assert own.decode(packed, ends) == raw and own.decode(packed) == raw
+        for _ in range(100):
+            a = rnd.randrange(len(raw) + 2)
+            b = rnd.randrange(len(raw) + 2)
+            assert own.decode(packed, ends, a, b) == raw[a:b]
