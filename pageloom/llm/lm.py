@@ -135,7 +135,7 @@ def gather(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                     words[b""] += 1
                 chunk[y].append(b" ".join(w))
                 size += len(chunk[y][-1])
-                if size > 1 << 22 or i == len(texts) - 1:
+                if size > 1 << 20 or i == len(texts) - 1:
                     parts = [(seen, n)]
                     for y_, plain in enumerate(chunk):
                         if plain:
@@ -144,7 +144,7 @@ def gather(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                             parts.append((g, c * y_))
                     seen, n = _group(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
                     chunk, size = [[], []], 0
-            if len(words) > 600_000 or len(seen) > 3_000_000:  # a task's memory is bounded; the sum is the same
+            if len(words) > 600_000 or len(seen) > 2_000_000:  # a task's memory is bounded; the sum is the same
                 yield from rows(words, seen, n)
                 words, seen, n = Counter(), seen[:0], n[:0]
         yield from rows(words, seen, n)
@@ -183,7 +183,7 @@ def _contexts(counts: DataFrame, depth: int) -> DataFrame:
         for b in batches:
             parts = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
             low, gram, n = (np.concatenate(x) for x in zip((low, gram, n), parts))
-            if len(low) > 200_000 and (cut := int(np.searchsorted(low, low[-1]))):  # whole contexts only
+            if len(low) > 100_000 and (cut := int(np.searchsorted(low, low[-1]))):  # whole contexts only
                 yield from emit(low[:cut], gram[:cut], n[:cut])
                 low, gram, n = low[cut:], gram[cut:], n[cut:]
         if len(low):
@@ -237,7 +237,7 @@ def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
 
         for batch in batches:
             sizes = np.diff(batch.column(0).offsets.to_numpy())
-            cuts = np.unique(np.append(np.searchsorted(np.cumsum(sizes), np.arange(0, sizes.sum(), 1 << 19), "right"), batch.num_rows)) if len(sizes) else ()
+            cuts = np.unique(np.append(np.searchsorted(np.cumsum(sizes), np.arange(0, sizes.sum(), 1 << 17), "right"), batch.num_rows)) if len(sizes) else ()
             for a, b in zip(cuts[:-1], cuts[1:]):
                 a, b = int(a), int(b)
                 gram, k = flat(batch.column(0), a, b)
@@ -283,10 +283,10 @@ def most_frequent(scores: DataFrame, top: int = TOP_GRAMS) -> tuple[np.ndarray,
 
 
 class Table:
-    """Vectorised look-up of 64-bit keys: open addressing in four slots a key."""
+    """Vectorised look-up of 64-bit keys: open addressing in two slots a key and more."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.bits = max(4, int(2 * len(keys) - 1).bit_length())
         self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
         left, at = np.arange(len(keys)), self._slot(keys)
         while len(left):
@@ -378,7 +378,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, top_words: int = TOP_WO
         return [*out[:4], score, *out[4:], [rare[first[a:b]] for a, b in spans], [k[a:b] for a, b in spans]]
 
     fields = "n_tokens long, n_top long, base_top double, n_bytes long, score_top double, rest array<binary>, rest_n array<int>, rare array<long>, rare_n array<int>"
-    scored = write_table(per_document(docs, compute, fields, carry=("doc_id", "learn")).withColumn("_row", F.monotonically_increasing_id()), "lm-scored")
+    scored = write_table(per_document(docs, compute, fields, chunk_chars=1 << 19, carry=("doc_id", "learn")).withColumn("_row", F.monotonically_increasing_id()), "lm-scored")
     none = F.lit(None).cast("double")
     rest = scored.select("_row", F.explode(F.arrays_zip("rest", "rest_n")).alias("r")).select("_row", F.col("r.rest").alias("word"), F.col("r.rest_n").alias("k"))
     by_word = rest.join(words, "word", "left").select(
