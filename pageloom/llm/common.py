@@ -81,15 +81,21 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def _fixed(kind) -> int:
+    """Bytes that a value takes in a row, text and binary content aside."""
+    return 8 + sum(8 + _fixed(f.dataType) * isinstance(f.dataType, T.StructType) for f in kind.fields) if isinstance(kind, T.StructType) else 8
+
+
 def _bytes(field) -> Column:
-    """About what a value of this field takes in memory."""
+    """About what a value of this field takes in a row; binary content in structs and arrays counts as 16 bytes."""
     kind, c = field.dataType, F.col(f"`{field.name}`")
     if isinstance(kind, (T.StringType, T.BinaryType)):
         return F.lit(16) + F.coalesce(F.octet_length(c), F.lit(0))
     if isinstance(kind, T.ArrayType):
-        width = 16 * (len(kind.elementType.fields) + 1) if isinstance(kind.elementType, T.StructType) else 16
+        inner = kind.elementType.fields if isinstance(kind.elementType, T.StructType) else [T.StructField("x", kind.elementType)]
+        width = 8 * isinstance(kind.elementType, T.StructType) + _fixed(kind.elementType) + 16 * sum(isinstance(f.dataType, (T.StringType, T.BinaryType)) for f in inner)
         return F.lit(24) + F.coalesce(F.size(c), F.lit(0)) * width
-    return F.lit(16 * (len(kind.fields) + 1) if isinstance(kind, T.StructType) else 8)
+    return F.lit(8 + _fixed(kind))
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
@@ -155,28 +161,21 @@ def per_document(docs: DataFrame, compute, fields: str, chunk_chars: int = 1 <<
 HOT_SHARE = 256
 
 
-def join_counted(left: DataFrame, right: DataFrame, key: str, n: str = "n", total: int | None = None) -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, key: str, n: str = "n") -> DataFrame:
     """left joined (left outer) to right, which has one row a key and in n the key's number of rows in left.
 
-    Hot keys come by a broadcast of at most HOT_SHARE rows; the others are shuffled, so no task gathers a hot key. Give
-    a written right side, and a written left side or its number of rows in total. Null keys find nothing. Column names of left and right, but for the key, must differ.
+    Rows with a hot key meet a broadcast of at most HOT_SHARE rows; the others are shuffled, so no task gathers a hot key.
+    Give a written right side, and a left side that is cheap to read twice. Null keys find nothing. Column names of left and
+    right, but for the key, must differ.
     """
-    total = left.count() if total is None else total
     others = [c for c in right.columns if c != key]
-    names = [free_name(left, x) for x in ("_hot", "_spread", "_rest_key", "_rest")]
-    hot_col, spread_col, rest_key, rest_col = names
-    hot = right.filter(F.col(n) > total / HOT_SHARE).select(key, F.struct(*others).alias(hot_col))
-    rest = right.filter(F.col(n) <= total / HOT_SHARE).select(F.hex(F.col(key).cast("string").cast("binary")).alias(rest_key) if _is_text(right, key) else F.hex(key).alias(rest_key), F.struct(*others).alias(rest_col))
-    out = left.join(F.broadcast(hot), key, "left")
-    own = F.hex(F.col(key).cast("string").cast("binary")) if _is_text(right, key) else F.hex(key)
-    spread = F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string"))  # no hex number, and spreads what is done already
-    out = out.withColumn(spread_col, F.when(F.col(hot_col).isNull(), own).otherwise(spread)).join(rest, F.col(spread_col) == F.col(rest_key), "left")
-    found = F.coalesce(hot_col, rest_col)
-    return out.select(*left.columns, *[found[c].alias(c) for c in others])
-
-
-def _is_text(df: DataFrame, key: str) -> bool:
-    return isinstance(df.schema[key].dataType, T.StringType)
+    hot = right.filter(F.col(n) > left.count() / HOT_SHARE).select(key, *others)
+    columns = [*left.columns, *others]
+    if hot.isEmpty():
+        return left.join(right.select(key, *others), key, "left").select(*columns)
+    mine = left.join(F.broadcast(hot), key).select(*columns)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.select(key, *others), key, "left").select(*columns)
+    return mine.unionByName(rest)
 
 
 #: Edges that one task contracts at a time, and up to which a single task finishes.

@@ -214,14 +214,14 @@ def _links(ratio: tuple[int, int], visits: bool):
     return run
 
 
-def _with_parts(posts: DataFrame, large: DataFrame, total: int) -> DataFrame:
+def _with_parts(posts: DataFrame, large: DataFrame) -> DataFrame:
     """posts with parts, the number of parts of their key (1 for keys that are not in large), and n_docs."""
     if large.isEmpty():
         return posts.withColumn("parts", F.lit(1)).withColumn("n_docs", F.lit(0).cast("long"))
     if is_small(large):
         met = posts.join(F.broadcast(large), "key", "left")
     else:
-        met = join_counted(posts, large, "key", "n_docs", total)
+        met = join_counted(posts, large, "key", "n_docs")
     return met.select(*posts.columns, F.coalesce("parts", F.lit(1)).alias("parts"), F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"))
 
 
@@ -252,7 +252,7 @@ def similar_nodes(docs: DataFrame, shingle: int = 5, ratio: tuple[int, int] = (4
     nodes = write_table(prints.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sample").alias("sample")), "near-nodes")
     sampled = nodes.select("node", F.explode("sample").alias("h"))
     often = write_table(sampled.groupBy("h").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > common), "common-shingles")
-    met = sampled.join(F.broadcast(often.select("h")), "h") if is_small(often) else join_counted(sampled, often, "h", "n_docs", 1 << 62).filter("n_docs IS NOT NULL")
+    met = sampled.join(F.broadcast(often.select("h")), "h") if is_small(often) else join_counted(sampled, often, "h", "n_docs").filter("n_docs IS NOT NULL")
     hits = write_table(met.groupBy("node").agg(F.array_sort(F.collect_list("h")).alias("common")), "common-hits")
     chosen = nodes.join(broadcast_if_small(hits), "node", "left").withColumn("rare", F.coalesce(F.array_except("sample", "common"), F.col("sample")))
     mostly = 10 * F.size("rare") < 3 * F.size("sample")
@@ -262,7 +262,7 @@ def similar_nodes(docs: DataFrame, shingle: int = 5, ratio: tuple[int, int] = (4
     sizes = posts.groupBy("key").agg(F.count("*").alias("n_docs"), F.sum("n").alias("shingles"))
     parts = F.greatest(F.ceil(F.col("n_docs") / part_docs), F.ceil(F.col("shingles") / PART_SHINGLES)).cast("int")
     large = write_table(sizes.filter((F.col("n_docs") > part_docs) | (F.col("shingles") > PART_SHINGLES)).select("key", "n_docs", parts.alias("parts")), "large-keys")
-    dealt = _with_parts(posts, large, 1 << 62)
+    dealt = _with_parts(posts, large)
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     everywhere = F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("n_docs") / SHARED_DOCS)) == 0
     dealt = dealt.withColumn("part", F.explode(F.when((F.col("parts") > 1) & everywhere, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))))
@@ -298,11 +298,11 @@ def similar_nodes(docs: DataFrame, shingle: int = 5, ratio: tuple[int, int] = (4
 
 def _visits(posts: DataFrame, large: DataFrame, roots: DataFrame, sets_of, chain: Chain, ratio: tuple[int, int], n_parts: int) -> DataFrame:
     """Links that the parts of large keys hide from each other: every document outside its key's largest component visits all parts."""
-    rows = write_table(_with_parts(posts, large, 1 << 62).filter("parts > 1"), "large-posts")
+    rows = write_table(_with_parts(posts, large).filter("parts > 1"), "large-posts")
     rows = write_table(rows.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "large-labels")
     main = rows.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
     main = write_table(large.join(main, "key").select("key", "main", F.col("n_docs").alias("m_docs")), "large-main")
-    met = rows.join(F.broadcast(main), "key") if is_small(main) else join_counted(rows, main, "key", "m_docs", 1 << 62)
+    met = rows.join(F.broadcast(main), "key") if is_small(main) else join_counted(rows, main, "key", "m_docs")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     outside = F.col("label") != F.col("main")
     met = met.withColumn("part", F.explode(F.when(outside, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own)))).withColumn("guest", outside)
@@ -344,7 +344,7 @@ def drop_near(docs: DataFrame, shingle: int = 5, ratio: tuple[int, int] = (4, 5)
         met = tagged.join(F.broadcast(found.drop("n_rows")), node, "left")
     else:
         count = free_name(docs, "_n_rows")
-        met = join_counted(tagged, found.withColumnRenamed("n_rows", count), node, count, docs.count())
+        met = join_counted(tagged, found.withColumnRenamed("n_rows", count), node, count)
     stays = F.col(lead).isNull() | (F.col(f"{lead}.lead_node") == F.col(node)) & F.col(f"{lead}.lead_id").eqNullSafe(F.col("doc_id"))
     kept = met.filter(stays)
     several = F.coalesce(F.col(f"{lead}.n_lead") > 1, F.lit(False))

@@ -2,7 +2,7 @@
 
 Equal windows share the content of their smallest ANCHOR-word hash, so windows are dealt by that anchor: consecutive
 windows of a document with one anchor are a segment. An anchor that one document alone has is done with. The segments of
-the others are told apart by 128 bits of the BLAKE2b of their words, which stands for the words: equal segments need only
+the others are told apart by 128 bits of the BLAKE2b of their words, which stands for the words: of equal segments one is needed, with
 their smallest document. Where an anchor has several distinct segments, these are sharded by anchor, and each shard is a
 compressed FM-index over words: a wavelet matrix of the Burrows-Wheeler transform, packed bits with block counts, and for
 each run of suffixes that agree in a whole window the smallest document; the suffix array is not kept. Segments are
@@ -24,55 +24,38 @@ from pyspark.sql import types as T
 from .common import broadcast_if_small, documents, join_counted, text_digest, text_or_empty, write_table
 
 WINDOW, ANCHOR = 50, 4
-#: Words of one FM-index. Complete anchors fill it, and none of them has more, so it holds less than twice as many.
-SHARD_WORDS = 400_000
+#: Words that fill an FM-index, complete anchors at a time, and of the widest anchor that goes into one.
+SHARD_WORDS, ANCHOR_WORDS = 400_000, 50_000
 NEVER = (1 << 63) - 1  # after all documents
 _P = np.uint64(0x9E3779B97F4A7C15)
-_PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def words_of(text: str) -> list[bytes]:
     return text.encode().split()  # exactly the white space of the contract
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    p = np.full(n, base, np.uint64)
-    p[:1] = 1
-    return np.multiply.accumulate(p) if n else p
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
 
 
-class RangeHash:
-    """Hashes of word ranges from prefix sums; order counts."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_P, len(hashes)), dtype=np.uint64)])
-        self.undo = _powers(_PINV, len(hashes) + 1)
-
-    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[b] - self.sums[a]) * self.undo[a] + (b - a).astype(np.uint64))
-
-
 def hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def segments(counts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document's index, first word in it, number of words, anchor, content) of all segments of documents that have
-    `counts` words each, their word hashes one after the other."""
+    """(document's index, first word in it, number of words, anchor) of all segments of documents that have `counts` words each,
+    their word hashes one after the other."""
     ends = np.cumsum(counts)
     windows = np.maximum(counts - WINDOW + 1, 0)
     doc = np.repeat(np.arange(len(counts)), windows)
     first = (ends - counts)[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)
     if not len(doc):
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    ranges = RangeHash(hashes)
-    at = np.arange(len(hashes) - ANCHOR + 1)
-    key = ranges.of(at, at + ANCHOR)
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    key = np.zeros(len(hashes) - ANCHOR + 1, np.uint64)
+    for k in range(ANCHOR):  # order counts
+        key = _mix(key * _P + hashes[k : k + len(key)])
+    at = np.arange(len(key))
     span, best = WINDOW - ANCHOR + 1, at
     step = 1
     while 2 * step <= span:  # leftmost smallest of 2 * step from each place
@@ -86,7 +69,7 @@ def segments(counts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
     last = np.concatenate([begin[1:], [len(doc)]]) - 1
     a, b = first[begin], first[last] + WINDOW
     d = doc[begin]
-    return d, a - (ends - counts)[d], b - a, key[anchor[begin]].astype(np.int64), ranges.of(a, b).astype(np.int64)
+    return d, a - (ends - counts)[d], b - a, key[anchor[begin]].astype(np.int64)
 
 
 class BitRank:
@@ -207,55 +190,38 @@ def _chunks(batch, column: int, least: int = 1 << 21):
         at = end
 
 
-def _to_segments(content_bits: int):
-    def run(batches):
-        import pyarrow as pa
-
-        mask = np.int64((1 << content_bits) - 1 if content_bits < 64 else -1)
-        for batch in batches:
-            for a, b in _chunks(batch, 2):
-                words = [words_of(t) for t in batch.column(2).slice(a, b - a).to_pylist()]
-                counts = np.array([len(w) for w in words], np.int64)
-                doc, start, n, anchor, content = segments(counts, hash_words([x for w in words for x in w]))
-                if len(doc):
-                    at = pa.array(doc + a)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(at), batch.column(1).take(at), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(content & mask)],
-                        names=["d", "tkey", "start", "n", "anchor", "content"],
-                    )
-
-    return run
-
-
 def digest(words: list[bytes]) -> bytes:
     """Words have no spaces, so equal digests mean equal words."""
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
-_FOUND = "anchor long, content binary, d long, tkey binary, start int, n int, words binary"
-
+def _to_segments(batches):
+    import pyarrow as pa
 
-def _to_contents(batches):
-    """Of (d, tkey, text, places): each place with its digest, and its words if its anchor has several contents and the task has not
-    given them yet."""
+    for batch in batches:
+        for a, b in _chunks(batch, 2):
+            words = [words_of(t) for t in batch.column(2).slice(a, b - a).to_pylist()]
+            counts = np.array([len(w) for w in words], np.int64)
+            doc, start, n, anchor = segments(counts, hash_words([x for w in words for x in w]))
+            if len(doc):
+                at = pa.array(doc + a)
+                content = [digest(words[i][x : x + m]) for i, x, m in zip(doc.tolist(), start.tolist(), n.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(content, pa.binary())],
+                    names=["d", "tkey", "start", "n", "anchor", "content"],
+                )
+
+
+def _to_words(batches):
+    """Of (d, text, places): (anchor, content, low, words) of each place."""
     import pyarrow as pa
 
-    names = [x.split()[0] for x in _FOUND.split(", ")]
-    kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]] for x in _FOUND.split(", ")]
-    given: set[bytes] = set()
     for batch in batches:
-        for d, tkey, text, places in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            words, rows = words_of(text), []
-            for p in places:
-                part = b" ".join(words[p["start"] : p["start"] + p["n"]])
-                content = hashlib.blake2b(part, digest_size=16).digest()
-                give = not p["one"] and content not in given
-                if give:
-                    if len(given) > 1_000_000:  # a task's memory is bounded; giving words twice does no harm
-                        given.clear()
-                    given.add(content)
-                rows.append((p["anchor"], content, d, tkey, p["start"], p["n"], part if give else None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+        for d, text, places in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            words = words_of(text)
+            parts = [b" ".join(words[p["start"] : p["start"] + p["n"]]) for p in places]
+            content = [hashlib.blake2b(p, digest_size=16).digest() for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([p["anchor"] for p in places]), pa.array(content, pa.binary()), pa.array([d] * len(places)), pa.array(parts, pa.binary())], names=["anchor", "content", "low", "words"])
 
 
 def _to_minima(batches):
@@ -302,50 +268,50 @@ def _once(docs: DataFrame) -> DataFrame:
     return docs.join(again, ["d", "tkey"], "left_anti").unionByName(first)
 
 
-def repeated_ranges(docs: DataFrame, shard_words: int = SHARD_WORDS, content_bits: int = 64) -> DataFrame:
-    """(d, tkey, ranges array<struct<a, b>>): words [a, b) of documents that windows of earlier documents cover. From a table
-    keyed by _keyed(). content_bits is the width of the hash that tells at first whether an anchor's segments are all alike."""
+def repeated_ranges(docs: DataFrame, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
+    """(d, tkey, ranges array<struct<a, b>>): words [a, b) of documents that windows of earlier documents cover, in order and
+    apart. From a table keyed by _keyed()."""
     docs = _once(docs)
-    seg = write_table(docs.mapInArrow(_to_segments(content_bits), "d long, tkey binary, start int, n int, anchor long, content long"), "segments")
-    anchors = seg.groupBy("anchor").agg(F.min("d").alias("low"), F.max("d").alias("high"), (F.min("content") == F.max("content")).alias("one"), F.count("*").alias("k"))
-    anchors = write_table(anchors.filter("low < high").select("anchor", "one", "k"), "anchors")
-    found, left = None, anchors
-    while True:
-        shared = join_counted(seg, left, "anchor", "k").filter("k IS NOT NULL")
-        wanted = write_table(shared.groupBy("d", "tkey").agg(F.collect_list(F.struct("anchor", "start", "n", "one")).alias("places")), "wanted")
-        met = docs.join(broadcast_if_small(wanted), ["d", "tkey"]).select("d", "tkey", "text", "places")
-        new = write_table(met.mapInArrow(_to_contents, _FOUND), "segment-digests")
-        found = new if found is None else found.join(left.select("anchor"), "anchor", "left_anti").unionByName(new)
-        # segments that the cheap hash called one but whose digests differ are looked at again, with their words
-        unequal = new.join(anchors.filter("one"), "anchor", "left_semi").groupBy("anchor").agg(F.min("content").alias("c0"), F.max("content").alias("c1")).filter("c0 <> c1") if left is anchors else None
-        if unequal is None:
-            break
-        unequal = write_table(unequal.select("anchor"), "unequal-anchors")
-        if unequal.isEmpty():
-            break
-        left = anchors.join(unequal, "anchor").withColumn("one", F.lit(False))
-    contents = found.groupBy("anchor", "content").agg(F.min("d").alias("low"), F.max("words").alias("words"), F.count("*").alias("m"), F.first("n").alias("n"))
-    contents = write_table(contents, "contents")
-    kinds = write_table(contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).filter("kinds > 1"), "kinds")
-    several = write_table(join_counted(contents.select("anchor", "content", "low", "words"), kinds, "anchor", "kinds", contents.count()).filter("kinds IS NOT NULL"), "several")
+    seg = write_table(docs.mapInArrow(_to_segments, "d long, tkey binary, start int, n int, anchor long, content binary"), "segments")
+    anchors = seg.groupBy("anchor").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("k"))
+    anchors = write_table(anchors.filter("low < high").select("anchor", "k"), "anchors")
+    shared = write_table(join_counted(seg, anchors, "anchor", "k").filter("k IS NOT NULL").drop("k"), "shared")
+    first = F.min(F.struct("d", "tkey", "start", "n")).alias("p")
+    contents = write_table(shared.groupBy("anchor", "content").agg(first, F.count("*").alias("m")), "contents")
+    kinds = write_table(contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("p.n").alias("total")).filter("kinds > 1"), "kinds")
+    several = join_counted(contents.select("anchor", "content", "p"), kinds, "anchor", "kinds").filter("kinds IS NOT NULL")
+    several = write_table(several.select("anchor", "content", "p.*", (F.col("total") > anchor_words).alias("wide")), "several")
+    # the words of distinct segments come from their smallest document
+    wanted = write_table(several.groupBy("d", "tkey").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("places")), "wanted")
+    texts = docs.join(broadcast_if_small(wanted), ["d", "tkey"]).select("d", "text", "places")
+    texts = write_table(texts.mapInArrow(_to_words, "anchor long, content binary, low long, words binary"), "segment-words")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    narrow = several.filter(F.col("total") <= shard_words).select("anchor", "content", "low", "words")
-    minima = narrow.repartition(parts, "anchor").sortWithinPartitions("anchor", "content").mapInArrow(_to_minima, "content binary, minima array<long>")
-    wide = several.filter(F.col("total") > shard_words)
-    if not wide.isEmpty():
-        windows = write_table(wide.select("content", "low", "words").mapInArrow(_to_windows, "content binary, low long, place int, window binary"), "windows")
+    wide_ones = write_table(several.filter("wide").select("anchor").distinct(), "wide-anchors")
+    narrow, minima = texts, None
+    if not wide_ones.isEmpty():
+        side = broadcast_if_small(wide_ones)
+        narrow = texts.join(side, "anchor", "left_anti")
+        windows = texts.join(side, "anchor", "left_semi").select("content", "low", "words").mapInArrow(_to_windows, "content binary, low long, place int, window binary")
+        windows = write_table(windows, "windows")
         least = write_table(windows.groupBy("window").agg(F.min("low").alias("least"), F.count("*").alias("k")), "window-minima")
         back = join_counted(windows.select("content", "place", "window"), least, "window", "k").groupBy("content").agg(F.array_sort(F.collect_list(F.struct("place", "least"))).alias("w"))
-        minima = minima.unionByName(back.select("content", F.col("w.least").alias("minima")))
-    minima = write_table(minima, "minima")
-    known = write_table(contents.select("content", "low", "m").join(minima, "content", "left"), "known")
-    rows = join_counted(found.select("d", "tkey", "start", "n", "content"), known, "content", "m", found.count())
+        minima = back.select("content", F.col("w.least").alias("minima"))
+    found = narrow.repartition(parts, "anchor").sortWithinPartitions("anchor", "content").mapInArrow(_to_minima, "content binary, minima array<long>")
+    minima = write_table(found if minima is None else found.unionByName(minima), "minima")
+    # only contents of which some document's words go are joined back
+    known = contents.select("content", F.col("p.d").alias("low"), F.col("m")).join(minima, "content", "left")
+    known = write_table(known.filter("minima IS NOT NULL OR m > 1"), "known")
+    rows = join_counted(shared.select("d", "tkey", "start", "n", "content"), known, "content", "m").filter("low IS NOT NULL")
     # of a lone content all windows have its smallest document; windows of one segment that are hit overlap, so the words between are covered too
-    alone = F.when(F.col("low") < F.col("d"), F.sequence(F.lit(0), F.col("n") - WINDOW))
+    alone = F.when(F.col("low") < F.col("d"), F.array(F.lit(0), F.col("n") - WINDOW))
     w = F.coalesce(F.when(F.col("minima").isNull(), alone).otherwise(F.expr("filter(transform(minima, (m, i) -> IF(m < d, i, -1)), i -> i >= 0)")), F.array().cast("array<int>"))
     hits = rows.select("d", "tkey", "start", w.alias("w")).filter("size(w) > 0")
     hits = hits.select("d", "tkey", F.struct((F.col("start") + F.element_at("w", 1)).alias("a"), (F.col("start") + F.element_at("w", -1) + WINDOW).alias("b")).alias("r"))
-    return hits.groupBy("d", "tkey").agg(F.collect_set("r").alias("ranges"))
+    return hits.groupBy("d", "tkey").agg(F.collect_set("r").alias("r")).select("d", "tkey", F.expr(_UNITED).alias("ranges"))
+
+
+_UNITED = """aggregate(array_sort(r), CAST(array() AS array<struct<a: int, b: int>>), (u, x) ->
+  IF(size(u) > 0 AND element_at(u, -1).b >= x.a, concat(slice(u, 1, size(u) - 1), array(named_struct('a', element_at(u, -1).a, 'b', greatest(element_at(u, -1).b, x.b)))), concat(u, array(x))))"""
 
 
 def _keyed(docs: DataFrame, *more: str) -> DataFrame:

@@ -41,7 +41,7 @@ def corpus(seed):
     return rows + [(None, rows[5][1]), (None, rows[5][1]), (2000, None), (2001, ""), (rows[3][0], rows[3][1])]
 
 
-@pytest.mark.parametrize("seed,options", [(1, {}), (2, {"content_bits": 0}), (3, {"shard_words": 150}), (4, {"shard_words": 0, "content_bits": 2})])
+@pytest.mark.parametrize("seed,options", [(1, {}), (2, {}), (3, {"anchor_words": 150}), (4, {"anchor_words": 0})])
 def test_equals_brute_force(spark, seed, options):
     rows = corpus(seed)
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, words string")
