@@ -25,7 +25,7 @@ from .common import broadcast_if_small, documents, join_counted, text_digest, te
 
 WINDOW, ANCHOR = 50, 4
 #: Words that fill an FM-index, complete anchors at a time, and of the widest anchor that goes into one.
-SHARD_WORDS, ANCHOR_WORDS = 400_000, 50_000
+SHARD_WORDS, ANCHOR_WORDS = 400_000, 200_000
 NEVER = (1 << 63) - 1  # after all documents
 _P = np.uint64(0x9E3779B97F4A7C15)
 
