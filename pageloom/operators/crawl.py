@@ -10,7 +10,18 @@ from ..sources.staging import staged
 from . import dom
 from .inspect import _attr
 
-NEXT_SELECTORS = ("a[rel='next']", ".next a", "li.next a", ".next > a", "a.next", ".pagination .next a", "a:has-text('Next')", "[aria-label='Next page']", "[aria-label='Next']")
+# Fixed values, set by parity of results (survey S8): where a next link usually is, by precedence. Text is compared in any case.
+NEXT_SELECTORS = [
+    "a[rel='next']",
+    ".next a",
+    "li.next a",
+    ".next > a",
+    "a.next",
+    ".pagination .next a",
+    "a:has-text('Next')",
+    "[aria-label='Next page']",
+    "[aria-label='Next']",
+]
 
 
 def next_pages(nodes: DataFrame, pages: DataFrame, pagination: dict | None = None) -> DataFrame:

@@ -150,14 +150,44 @@ def report_flags(nodes: DataFrame) -> DataFrame:
     return out.select("page_id", flag("rows", 5).alias("table_found"), flag("most", 10).alias("pattern_found"), flag("items", 3).alias("list_found"), F.left(F.concat_ws(" | ", F.concat_ws("=", F.lit("rows"), "rows"), "p", F.concat_ws("=", F.lit("items"), "items")), F.lit(3200)).alias("report"))
 
 
-#: Selectors that often hold records, by falling precedence at equal counts.
+# Fixed values, set by parity of results (survey D11): selectors that often hold records, by precedence at equal counts.
 CONTAINERS = [
-    s.strip() for s in """.product; .product-item; .product-card; .product-tile; .product-thumb; [class*='product']
-    .item; .card; .listing-item; .result; .entry; .post; .article-item; [class*='item']; [class*='card']
-    li.col-sm-4; li.col-md-4; li.col-lg-4; .col-sm-4; .col-md-4; div.col-sm-4; div.col-md-4
-    .thumbnail; .thumb; tbody tr; tr[class]; article; .post; .blog-post; .quote; .review; .testimonial
-    .story; .news-item; .headline""".replace("\n", ";").split(";") if s.strip()
-]
+    ".product",
+    ".product-item",
+    ".product-card",
+    ".product-tile",
+    ".product-thumb",
+    "[class*='product']",
+    ".item",
+    ".card",
+    ".listing-item",
+    ".result",
+    ".entry",
+    ".post",
+    ".article-item",
+    "[class*='item']",
+    "[class*='card']",
+    "li.col-sm-4",
+    "li.col-md-4",
+    "li.col-lg-4",
+    ".col-sm-4",
+    ".col-md-4",
+    "div.col-sm-4",
+    "div.col-md-4",
+    ".thumbnail",
+    ".thumb",
+    "tbody tr",
+    "tr[class]",
+    "article",
+    ".post",
+    ".blog-post",
+    ".quote",
+    ".review",
+    ".testimonial",
+    ".story",
+    ".news-item",
+    ".headline",
+]
 
 
 def repeated_first_class(nodes: DataFrame, low: int = 3, high: int = 200, top: int = 10) -> DataFrame:

@@ -149,7 +149,7 @@ def page_validity(spark, d):
     return p.select("page_id", v.alias("v")).select("page_id", "v.valid", "v.reason")
 
 
-@query("SELECT page_id, regexp_matches(lower(html), 'react|vue|__next_data__|__nuxt') AS js_heavy, contains(left(html, 500), 'cf-challenge') OR contains(left(html, 500), '_cf_chl') AS challenge FROM pages")
+@query("SELECT page_id, regexp_matches(lower(html), '__next_data__|react|vue|__nuxt') AS js_heavy, contains(left(html, 500), 'cf-challenge') OR contains(left(html, 500), '_cf_chl') AS challenge FROM pages")
 def js_heavy_pages(spark, d):
     """S2, P7."""
     return read_table(spark, d, "pages").select("page_id", urls.js_heavy("html").alias("js_heavy"), urls.is_challenge("html", F.lit("")).alias("challenge"))

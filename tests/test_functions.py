@@ -93,11 +93,14 @@ def test_engine_codes(spark):
         ("aeng_bmw-3-2019-20l-v6-8at-rwd-190-hp", {"liters": "2.0L", "cylinders": "V6", "gearbox": "8AT", "drive": "RWD", "hp": "190"}),
         ("aeng_x-2020-ev-75kwh-4wd", {"kwh": "75 KWH", "drive": "AWD"}),
         ("aeng_x-ev-525-kwh-300-hp", {"kwh": "52.5 KWH", "hp": "300"}),
+        ("aeng_x-ev-204-hp", {"liters": "20.4L"}), ("aeng_x-ev-1200-hp", {"hp": "1200"}), ("aeng_x-150-hp-2l", {"liters": "2.0L"}), ("aeng_x-150-hp-v6", {"liters": "15.0L", "cylinders": "V6"}), ("aeng_x-2l-75-kwh-v8-v6", {"liters": "2.0L", "kwh": "7.5 KWH", "cylinders": "V8"}),
+        ("aeng_x-99kwh-120-kwh-5-hp", {"kwh": "99 KWH", "hp": "5"}), ("", {}), (None, {}), ("aeng_2020-1999", {}),
         ("aeng_plain", {}),
     ],
 )
-def test_anchor_slots(anchor, slots):
-    assert values.decode_anchor(anchor) == slots
+def test_anchor_slots(spark, anchor, slots):
+    got = over(spark, [anchor], values.anchor_slots)[0].asDict()
+    assert {k: v for k, v in got.items() if v is not None} == slots
 
 
 def test_engine_names_cascade(spark):
