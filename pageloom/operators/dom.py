@@ -7,13 +7,15 @@ an equality on page_id; its parent's pre and its place among siblings give the o
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-TEXT_CAP = 4000
+from ..sources.staging import staged
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote br body dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 _NO_TEXT = frozenset("script style noscript template".split())
@@ -23,6 +25,41 @@ NODES = (
 )
 
 
+class _Text:
+    """What shows of a page, or of a part that shows apart from it: one string, from which every element's text is a slice."""
+
+    def __init__(self):
+        self.parts: list[str] = []
+        self.size = 0
+
+    def add(self, part: str) -> None:
+        self.parts.append(part)
+        self.size += len(part)
+
+    def finish(self) -> None:
+        """Words stand a space apart, or a line feed where a block begins or ends between them."""
+        raw = "".join(self.parts)
+        out, size, last = [], 0, 0
+        self.raw_from, self.raw_to, self.at = [], [], []
+        for m in re.finditer(r"\S+", raw):
+            gap = "" if not out else "\n" if "\n" in raw[last : m.start()] else " "
+            size += len(gap)
+            self.raw_from.append(m.start())
+            self.raw_to.append(m.end())
+            self.at.append(size)
+            out += [gap, m[0]]
+            size += len(m[0])
+            last = m.end()
+        self.text = "".join(out)
+
+    def slice(self, begin: int, end: int) -> str:
+        """The text of a part of the string; an element may begin or end within a word."""
+        first, last = bisect_right(self.raw_to, begin), bisect_left(self.raw_from, end) - 1
+        if first > last:
+            return ""
+        return self.text[self.at[first] + max(0, begin - self.raw_from[first]) : self.at[last] + min(end, self.raw_to[last]) - self.raw_from[last]]
+
+
 class _Tree(HTMLParser):
     """Builds rows as the lenient parser does: an end tag closes up to its open tag, a stray one is ignored; nothing is implied.
     implied adds what browsers imply: a new p, li, td, th, tr, dt, dd or option closes an open one."""
@@ -34,6 +71,11 @@ class _Tree(HTMLParser):
         self.rows: list[dict] = []
         self.stack: list[dict] = []
         self.implied, self.roots = implied, 0
+        self.open: dict[str, int] = {}  # how many of each tag are open
+        self.shown = [_Text()]
+        self.texts = list(self.shown)
+        self.bits: list[str] = []  # stripped strings
+        self.bits_size = 0
 
     def run(self, html: str) -> list[dict]:
         self.starts = [0, *(m.end() for m in re.finditer("\n", html))]
@@ -42,6 +84,12 @@ class _Tree(HTMLParser):
         self.close()
         while self.stack:
             self._close(self.size)
+        for text in self.texts:
+            text.finish()
+        joined = "".join(self.bits)
+        for r in self.rows:
+            r["text"] = r["shown"].slice(r["text_from"], r["text_to"])
+            r["joined"] = joined[r["joined_from"] : r["joined_to"]]
         return self.rows
 
     def _at(self) -> int:
@@ -57,9 +105,15 @@ class _Tree(HTMLParser):
             a.setdefault(k, v or "")
         style = a.get("style", "").replace(" ", "").lower()
         off = "hidden" in a or "display:none" in style or "visibility:hidden" in style or re.search(r"opacity:0(\.0*)?(;|$)", style) is not None
+        if tag in _BLOCK:
+            self.shown[-1].add("\n")
+        if tag in _NO_TEXT:
+            self.shown.append(_Text())
+            self.texts.append(self.shown[-1])
         row = {
             "pre": len(self.rows), "parent": up["pre"] if up else -1, "depth": up["depth"] + 1 if up else 0, "sib": up["kids"] if up else self.roots, "tag": tag, "id": a.get("id", ""),
-            "classes": a.get("class", "").split(), "attrs": a, "own": [], "parts": [], "kids": 0, "hidden": bool(off or up and up["hidden"]), "src_from": self._at(), "last": True,
+            "classes": a.get("class", "").split(), "attrs": a, "own": [], "kids": 0, "hidden": bool(off or up and up["hidden"]), "src_from": self._at(), "last": True,
+            "shown": self.shown[-1], "text_from": self.shown[-1].size, "joined_from": self.bits_size,
         }
         if not up:
             self.roots += 1
@@ -70,6 +124,7 @@ class _Tree(HTMLParser):
             up["youngest"] = row["pre"]
         self.rows.append(row)
         self.stack.append(row)
+        self.open[tag] = self.open.get(tag, 0) + 1
         if tag in VOID:
             self._close(self._at() + len(self.get_starttag_text() or ""))
 
@@ -79,7 +134,7 @@ class _Tree(HTMLParser):
             self._close(self._at() + len(self.get_starttag_text() or ""))
 
     def handle_endtag(self, tag):
-        if any(r["tag"] == tag for r in self.stack):
+        if self.open.get(tag):
             at = self._at()
             while self.stack[-1]["tag"] != tag:
                 self._close(at)
@@ -87,34 +142,36 @@ class _Tree(HTMLParser):
 
     def _close(self, at: int) -> None:
         row = self.stack.pop()
+        self.open[row["tag"]] -= 1
         row["post"], row["src_to"] = len(self.rows) - 1, min(at, self.size)
-        whole = "".join(row["parts"])
-        if self.stack and row["tag"] not in _NO_TEXT:
-            edge = "\n" if row["tag"] in _BLOCK else ""
-            self.stack[-1]["parts"].append(edge + whole + edge)
-        lines = [re.sub(r"\s+", " ", x).strip() for x in whole.split("\n")]
-        row["text"] = "\n".join(x for x in lines if x)
-        row["joined"] = "".join(row["bits"]) if "bits" in row else ""
-        if self.stack and "bits" in row:
-            self.stack[-1].setdefault("bits", []).extend(row["bits"])
+        row["text_to"], row["joined_to"] = self.shown[-1].size, self.bits_size
+        if row["tag"] in _NO_TEXT:
+            self.shown.pop()
+        if row["tag"] in _BLOCK:
+            self.shown[-1].add("\n")
 
     def handle_data(self, data):
         if not self.stack:
             return
         top = self.stack[-1]
         top["own"].append(data)
-        top["parts"].append(re.sub(r"\s+", " ", data))
+        self.shown[-1].add(re.sub(r"\s+", " ", data))
         if (bit := data.strip()) and top["tag"] not in _NO_TEXT:
-            top.setdefault("bits", []).append(bit)
+            self.bits.append(bit)
+            self.bits_size += len(bit)
 
 
 def parse_html(html: str | None, implied: bool = False) -> list[dict]:
     return _Tree(implied).run(html or "")
 
 
-def parse_pages(pages: DataFrame, implied: bool = False, text_cap: int = TEXT_CAP) -> DataFrame:
-    """The node table of (page_id, html). A page without elements, or without HTML, has no rows. text is what shows, a line
-    a block; joined the stripped strings without separator; both are cut at text_cap, text_len is the full length."""
+def parse_pages(pages: DataFrame, implied: bool = False, text_cap: int | None = None) -> DataFrame:
+    """The node table of (page_id, html). A page without elements, or without HTML, has no rows. text is what shows, a line a
+    block; joined the stripped strings without separator. Both are whole unless text_cap is given; text_len is the full length.
+    Elements hold the text of what is in them, so a table of them has a page's text about as often as it is deep.
+
+    Use node_table() where several operators read the result: this is an expression, and each of them would parse anew.
+    """
     row = StructType.fromDDL(NODES)
     names = row.names
 
@@ -123,19 +180,40 @@ def parse_pages(pages: DataFrame, implied: bool = False, text_cap: int = TEXT_CA
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(row)
+
+        def made(cols):
+            return pa.RecordBatch.from_arrays([pa.array(cols[n], schema.field(n).type) for n in names], schema=schema)
+
         for batch in batches:
             cols: dict[str, list] = {n: [] for n in names}
+            held = 0
             for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for r in parse_html(html, implied):
-                    values = (page, r["pre"], r["post"], r["parent"], r["depth"], r["sib"], r["last"], r["tag"], r["id"], r["classes"], list(r["attrs"].items()), re.sub(r"\s+", " ", "".join(r["own"])).strip(), r["text"][:text_cap], len(r["text"]), r["joined"][:text_cap], r["hidden"], r["src_from"], r["src_to"])
+                    text, own = r["text"], re.sub(r"\s+", " ", "".join(r["own"])).strip()
+                    values = (
+                        page, r["pre"], r["post"], r["parent"], r["depth"], r["sib"], r["last"], r["tag"], r["id"], r["classes"], list(r["attrs"].items()), own, text[:text_cap], len(text), r["joined"][:text_cap], r["hidden"],
+                        r["src_from"], r["src_to"],
+                    )
                     for n, v in zip(names, values):
                         cols[n].append(v)
-                if len(cols["pre"]) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[n], schema.field(n).type) for n in names], schema=schema)
-                    cols = {n: [] for n in names}
-            yield pa.RecordBatch.from_arrays([pa.array(cols[n], schema.field(n).type) for n in names], schema=schema)
+                    held += 200 + len(text) + len(r["joined"])
+                    if held > 1 << 24:
+                        yield made(cols)
+                        cols, held = {n: [] for n in names}, 0
+            yield made(cols)
+
+    return spread(pages.select(F.col("page_id").cast("long").alias("page_id"), "html")).mapInArrow(run, NODES)
+
+
+def spread(pages: DataFrame) -> DataFrame:
+    """Pages over all cores, where their files have fewer splits than there are (a row group is one split)."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages.repartition(cores, "page_id") if pages.rdd.getNumPartitions() < cores else pages
+
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(run, NODES)
+def node_table(pages: DataFrame, implied: bool = False) -> DataFrame:
+    """The node table, parsed once and written to the shared folder."""
+    return staged(parse_pages(pages, implied), "nodes")
 
 
 # --- CSS selection (D35) -------------------------------------------------------------------------

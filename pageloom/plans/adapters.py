@@ -44,7 +44,7 @@ class Books(SiteAdapter):
 
     def extract(self, pages: DataFrame, inputs: DataFrame | None = None) -> DataFrame:
         """Detail pages with a title; inputs (url, catalogue_page_url) give where a page was listed."""
-        nodes = dom.parse_pages(pages)
+        nodes = dom.node_table(pages)
         out = records.require(extract.detail_records(nodes, pages), "title")
         if inputs is not None:
             i = inputs.select(F.col("url").alias("product_page_url"), F.col("catalogue_page_url").alias("_from")).dropDuplicates(["product_page_url"])
@@ -74,7 +74,7 @@ class Vehicles(SiteAdapter):
 
     def extract(self, pages: DataFrame, inputs: DataFrame | None = None) -> DataFrame:
         """An engine an anchor of its page (P9, P10), named by label, anchor or specifications (F17, P11); engines without items go."""
-        nodes = dom.parse_pages(pages)
+        nodes = dom.node_table(pages)
         anchors = extract.harvest_anchors(nodes).select("page_id", F.explode("anchors").alias("engine_anchor_id")).join(pages.select("page_id", F.col("url").alias("model_year_url")), "page_id")
         anchors = anchors.filter(urls.valid_anchor("engine_anchor_id") & urls.anchor_of_page("engine_anchor_id", "model_year_url"))
         labels = extract.best_engine_label(nodes, anchors.select("page_id", F.col("engine_anchor_id").alias("anchor"))).withColumnRenamed("anchor", "engine_anchor_id")

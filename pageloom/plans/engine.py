@@ -37,7 +37,7 @@ def extract_pages(pages: DataFrame, plan: model.Plan, own: Extractor | None = No
     """(page_id, item_ord, fields, tier) of each page's first tier that holds: the user's extractor or the shortcut and fallback
     chain (gated), records of API responses (page_id, body), selectors."""
     fields = plan.names
-    nodes = staged(dom.parse_pages(pages), "nodes")
+    nodes = dom.node_table(pages)
     tiers = [own(nodes, pages, fields)] if own else [extract.shortcut(nodes, fields, pages).drop("tier"), extract.fallback(nodes, fields, pages).drop("tier")]
     gates = {i: PRIMARY_GATE for i in range(len(tiers))}
     if responses is not None:
@@ -92,7 +92,7 @@ class Session:
         job.status = "running"
         try:
             self._tell(job, 10, "parse")
-            nodes = dom.parse_pages(pages)
+            nodes = dom.node_table(pages)
             profile = inspect.page_profile(nodes).orderBy("page_id").first()
             forms = bool(inspect.search_forms(nodes).filter("is_search_form").limit(1).count())
             plan = self.planner(url, fields, max_pages)

@@ -29,7 +29,7 @@ def list_records(spark, d):
     """Flagship: parse, list tier, clean, junk, dedup."""
     p = read_table(spark, d, "pages")
     fields = ["title", "link"]
-    rows = extract.from_lists(dom.parse_pages(p), fields, p)
+    rows = extract.from_lists(dom.node_table(p), fields, p)
     return records.dedup_content(records.drop_junk(rows, fields), fields, ["page_id", "item_ord"])
 
 
@@ -103,7 +103,7 @@ def repeated_tags_topk(spark, d):
 @query(f"WITH {_LI} SELECT page_id, CAST(item_ord AS INT) AS item_ord, text, href FROM parts")
 def list_items(spark, d):
     """A child selector on the node table."""
-    n = dom.parse_pages(read_table(spark, d, "pages"))
+    n = dom.node_table(read_table(spark, d, "pages"))
     li = records.ordinal(dom.select(n, "nav > ul > li"), ["page_id"], ["pre"], "item_ord")
     a = dom.select(n, ":scope > a[href^='/']", dom.scopes_of(li)).select("page_id", F.col("scope_pre").alias("pre"), F.try_element_at("attrs", F.lit("href")).alias("href"))
     return li.join(a, ["page_id", "pre"]).select("page_id", "item_ord", "text", "href")
@@ -114,7 +114,7 @@ def list_items(spark, d):
 )
 def page_visible_text(spark, d):
     """D7, by its letters."""
-    t = inspect.visible_text(dom.parse_pages(read_table(spark, d, "pages"), text_cap=1 << 30), 1 << 30)
+    t = inspect.visible_text(dom.parse_pages(read_table(spark, d, "pages")), 1 << 30)
     return t.select("page_id", F.md5(F.regexp_replace("text", "[^A-Za-z]", "")).alias("letters"))
 
 
@@ -159,7 +159,7 @@ def js_heavy_pages(spark, d):
 def top_container_none(spark, d):
     """D8 on pages without three elements of one class: no rows."""
     p = read_table(spark, d, "pages")
-    return inspect.top_container(dom.parse_pages(p), p).select("page_id", F.col("selector").alias("prefix"), "n")
+    return inspect.top_container(dom.node_table(p), p).select("page_id", F.col("selector").alias("prefix"), "n")
 
 
 @query(
@@ -168,14 +168,14 @@ def top_container_none(spark, d):
 )
 def page_profile(spark, d):
     """D28, D29."""
-    return inspect.page_profile(dom.parse_pages(read_table(spark, d, "pages"))).select("page_id", "page_type", F.coalesce(F.get("containers", F.lit(0))["n"], F.lit(0)).alias("top_n"), "confidence")
+    return inspect.page_profile(dom.node_table(read_table(spark, d, "pages"))).select("page_id", "page_type", F.coalesce(F.get("containers", F.lit(0))["n"], F.lit(0)).alias("top_n"), "confidence")
 
 
 @query("SELECT page_id, '' AS next_url FROM pages")
 def next_page(spark, d):
     """The pages have no next link."""
     p = read_table(spark, d, "pages")
-    return crawl.next_pages(dom.parse_pages(p), p)
+    return crawl.next_pages(dom.node_table(p), p)
 
 
 @query(
@@ -184,7 +184,7 @@ def next_page(spark, d):
 def tier_fallback(spark, d):
     """Three engines; a third of the pages fails the first one's gate, a third has nothing from the first two."""
     p = read_table(spark, d, "pages")
-    n = dom.parse_pages(p)
+    n = dom.node_table(p)
     items = inspect.link_sample(n).select("page_id", "ord", F.col("href").alias("link"), F.lit("x").alias("name"), F.lit("y").alias("note"))
     weak = F.when(F.col("page_id") % 3 == 1, F.lit("")).otherwise(F.col("name"))
     first = items.filter("page_id % 3 < 2").withColumns({"name": weak, "note": weak})
@@ -213,20 +213,20 @@ def fixture(spark, *html: str, url: str = "http://example.org/catalogue/page-1.h
 def table_records(spark, d):
     """D5, D21. An empty header would match every field, so the fixture names its first column."""
     p = fixture(spark, TABLE_HTML.replace("<th></th>", "<th>zz</th>"))
-    return extract.from_tables(dom.parse_pages(p), ["country", "land_area", "zz"]).select(F.col("page_id").cast("int").alias("page_id"), "item_ord", "country", "land_area", "zz")
+    return extract.from_tables(dom.node_table(p), ["country", "land_area", "zz"]).select(F.col("page_id").cast("int").alias("page_id"), "item_ord", "country", "land_area", "zz")
 
 
 @query("SELECT CAST(i + 1 AS INT) AS item_ord, 'Thing number ' || chr(CAST(97 + i AS INT)) AS title, '$' || (i + 1) || '.50' AS price, (i % 9 + 1) || '.' || (i % 10) AS rating, 'http://example.org/t/' || i AS link FROM range(12) t(i)")
 def container_records(spark, d):
     """D10, D22, D24, T1, T2."""
     p = fixture(spark, CARDS_HTML)
-    return extract.shortcut(dom.parse_pages(p), ["title", "price", "rating", "link"], p).select("item_ord", "title", "price", "rating", "link")
+    return extract.shortcut(dom.node_table(p), ["title", "price", "rating", "link"], p).select("item_ord", "title", "price", "rating", "link")
 
 
 @query("SELECT 1 AS form_ord, '/find' AS action, 'POST' AS method, 'q:text,t:hidden,s:' AS inputs, true AS is_search_form")
 def form_inventory(spark, d):
     """D4, D36, P8."""
-    n = dom.parse_pages(fixture(spark, FORM_HTML))
+    n = dom.node_table(fixture(spark, FORM_HTML))
     f = inspect.form_inventory(n).join(inspect.search_forms(n), "page_id")
     return f.select("form_ord", "action", "method", F.array_join(F.transform("inputs", lambda x: F.concat_ws(":", x["name"], x["type"])), ",").alias("inputs"), "is_search_form")
 
@@ -236,7 +236,7 @@ def spec_tables(spark, d):
     """D32, P12, F20, N1, W2, W4."""
     from ..operators import nested
 
-    s = extract.spec_sections(dom.parse_pages(fixture(spark, SPEC_HTML)))
+    s = extract.spec_sections(dom.node_table(fixture(spark, SPEC_HTML)))
     return nested.flatten_sections(s, "page_id").select("position", "section_name", "spec_label", "spec_value")
 
 
@@ -244,14 +244,14 @@ def spec_tables(spark, d):
 def book_detail(spark, d):
     """D31, F2, F5, F6, F8, N4, N5, R6."""
     p = fixture(spark, BOOK_HTML)
-    return extract.detail_records(dom.parse_pages(p), p).select("book_id", "title", "price_gbp", "stock_count", "rating_text", "rating_value", "description", "category", "breadcrumb", "tax_gbp")
+    return extract.detail_records(dom.node_table(p), p).select("book_id", "title", "price_gbp", "stock_count", "rating_text", "rating_value", "description", "category", "breadcrumb", "tax_gbp")
 
 
 @query("SELECT CAST(i + 1 AS INT) AS item_ord, 'Book ' || i AS title, 'http://example.org/b/' || i || '.html' AS detail_url, i || '.10' AS price_gbp, CASE i WHEN 0 THEN 1 WHEN 1 THEN 5 END AS rating_value, 'http://example.org/catalogue/page-2.html' AS next_url FROM range(3) t(i)")
 def book_listing(spark, d):
     """D30, S8, F7."""
     p = fixture(spark, LISTING_HTML)
-    n = dom.parse_pages(p)
+    n = dom.node_table(p)
     return extract.listing_records(n, p).join(crawl.next_pages(n, p), "page_id").select("item_ord", "title", "detail_url", "price_gbp", "rating_value", "next_url")
 
 
@@ -260,20 +260,20 @@ def greedy_assignment(spark, d):
     """One field by its selector, one by greedy assignment, one by reference."""
     p = fixture(spark, CARDS_HTML)
     fields = {"name": {"attribute": "text"}, "cost": {"selector": ".price", "attribute": "text"}, "href": {"selector": "b.none", "attribute": "href"}}
-    return extract.by_selectors(dom.parse_pages(p), fields, p, "div.card").drop("page_id")
+    return extract.by_selectors(dom.node_table(p), fields, p, "div.card").drop("page_id")
 
 
 @query("SELECT 'div.card' AS selector, CAST(12 AS BIGINT) AS n")
 def top_container(spark, d):
     """D8, D9, W3."""
     p = fixture(spark, CARDS_HTML)
-    return inspect.top_container(dom.parse_pages(p), p).select("selector", "n")
+    return inspect.top_container(dom.node_table(p), p).select("selector", "n")
 
 
 @query("SELECT 'record_id:str:true,product_page_url:url:true,title:str:true,price:float:false,rating_value:int:false,availability_text:str:false,stock_count:int:false' AS fields, CAST(7 AS INT) AS n_rules")
 def schema_suggestion(spark, d):
     """G1 on a profile."""
-    profile = inspect.page_profile(dom.parse_pages(fixture(spark, BOOK_HTML))).first().asDict()
+    profile = inspect.page_profile(dom.node_table(fixture(spark, BOOK_HTML))).first().asDict()
     s = model.suggest_schema(profile)
     said = ",".join(f"{f['name']}:{f['type_hint']}:{str(f['required']).lower()}" for f in s["fields"])
     return spark.createDataFrame([(said, len(s["rules"]))], "fields string, n_rules int")

@@ -1,5 +1,7 @@
 """Parsing, selection, inspection and extraction over small inline pages."""
 
+import random
+
 import pytest
 
 from pageloom.operators import dom, extract, inspect
@@ -75,3 +77,75 @@ def test_pages_without_html_have_no_nodes(nodes, spark):
     assert {r.page_id for r in nodes.select("page_id").distinct().collect()} == {1, 2, 3, 6}
     none = dom.parse_pages(spark.createDataFrame([], "page_id long, html string"))
     assert none.collect() == [] and dom.select(none, "div p").collect() == [] and inspect.page_profile(none).collect() == []
+
+
+def naive_texts(html):
+    """Every element's text by joining its parts, an element after its children."""
+    from html.parser import HTMLParser
+
+    class Walk(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.stack, self.out = [], {}
+            self.n = 0
+
+        def handle_starttag(self, tag, attrs):
+            self.stack.append((tag, self.n, []))
+            self.n += 1
+            if tag in dom.VOID:
+                self.shut()
+
+        def shut(self):
+            tag, pre, parts = self.stack.pop()
+            whole = "".join(parts)
+            lines = [" ".join(x.split()) for x in whole.split("\n")]
+            self.out[pre] = "\n".join(x for x in lines if x)
+            if self.stack and tag not in dom._NO_TEXT:
+                edge = "\n" if tag in dom._BLOCK else ""
+                self.stack[-1][2].append(edge + whole + edge)
+
+        def handle_endtag(self, tag):
+            if any(t == tag for t, _, _ in self.stack):
+                while self.stack[-1][0] != tag:
+                    self.shut()
+                self.shut()
+
+        def handle_data(self, data):
+            if self.stack:
+                self.stack[-1][2].append(" ".join(data.split()) if data.strip() and data == data.strip() else __import__("re").sub(r"\s+", " ", data))
+
+    w = Walk()
+    w.feed(html)
+    w.close()
+    while w.stack:
+        w.shut()
+    return w.out
+
+
+def test_texts_are_slices_of_one_string():
+    rnd = random.Random(3)
+    bits = ["<p>", "</p>", "<b>", "</b>", "<div>", "</div>", "<li>", "<br>", "<script>", "</script>", "<noscript>", "</noscript>", "<i>", "</i>", "foo", " bar ", "\n", "x  y", "&amp;", "<span>", "</span>", " "]
+    for _ in range(3000):
+        html = "".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 25)))
+        rows = dom.parse_html(html)
+        assert {r["pre"]: r["text"] for r in rows} == naive_texts(html), html
+
+
+def test_long_and_deep_pages_are_whole(spark):
+    words = "word " * 20_000
+    deep = "<div>" * 400 + "x" + "</div>" * 400
+    df = spark.createDataFrame([(1, "u", f"<table><tr><th>UPC</th><td>{words}</td></tr></table>"), (2, "u", deep)], "page_id long, url string, html string")
+    n = dom.node_table(df)
+    assert n.filter("tag = 'td'").first().text == words.strip() and n.filter("page_id = 2 AND text = 'x'").count() == 400
+
+
+@pytest.mark.parametrize("name", ["list_records", "list_items", "page_profile", "next_page", "tier_fallback", "page_links", "container_records", "greedy_assignment"])
+def test_queries_parse_a_page_once(spark, name, monkeypatch):
+    """The parser's operator runs in one written table at most and never in two branches of the plan."""
+    from pageloom import catalog
+
+    parsed = []
+    parse = dom.parse_pages
+    monkeypatch.setattr(dom, "parse_pages", lambda *a, **k: parsed.append(1) or parse(*a, **k))
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(parsed) == 1 and plan.count("MapInArrow") <= 1
