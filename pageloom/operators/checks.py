@@ -7,21 +7,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, is_blank
+from ..functions.text import clean, free_name, is_blank
+from ..functions.values import failure_status, retry_wait
 
 
 def lookup(df: DataFrame, dim: DataFrame, key: str, value: str, name: str, miss: str = "") -> DataFrame:
     """Df with the dimension's value as name; `miss` where there is none. The dimension has a key once. Whether it is sent to all
     is the optimiser's choice, by size."""
-    d = dim.select(F.col(key).alias("_dk"), F.col(value).cast("string").alias("_dv"))
-    return df.join(d, F.col(key) == F.col("_dk"), "left").withColumn(name, F.coalesce("_dv", F.lit(miss))).drop("_dk", "_dv")
+    dk, dv = free_name(df.columns, "_dk"), free_name(df.columns, "_dv")
+    d = dim.select(F.col(key).alias(dk), F.col(value).cast("string").alias(dv))
+    return df.join(d, F.col(key) == F.col(dk), "left").withColumn(name, F.coalesce(dv, F.lit(miss))).drop(dk, dv)
 
 
 def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
     """Children whose key is not blank and not among the parents' keys that are not blank."""
-    p = parent.select(clean(F.col(pk)).alias("_pk")).filter("_pk <> ''").distinct()
-    c = child.withColumn("_fk", clean(F.col(fk))).filter("_fk <> ''")
-    return c.join(p, F.col("_fk") == F.col("_pk"), "left_anti").drop("_fk")
+    k, own = free_name(child.columns, "_pk"), free_name(child.columns, "_fk")
+    p = parent.select(clean(F.col(pk)).alias(k)).filter(F.col(k) != "").distinct()
+    c = child.withColumn(own, clean(F.col(fk))).filter(F.col(own) != "")
+    return c.join(p, F.col(own) == F.col(k), "left_anti").drop(own)
 
 
 def orphan_issue(child: DataFrame, fk: str, parent: DataFrame, pk: str, label: str) -> DataFrame:
@@ -75,3 +78,31 @@ def run_metrics(results: DataFrame, elapsed: float | Column = 0.0, by: list[str]
     out = out.withColumn("processed", F.col("ok") + F.col("failed") + F.col("flagged"))
     took = F.col("_e") if isinstance(elapsed, Column) else e
     return out.withColumn("success_rate", F.coalesce(F.try_divide("ok", "processed"), F.lit(0.0))).withColumn("records_per_second", F.coalesce(F.try_divide(F.col("processed").cast("double"), took), F.lit(0.0))).drop("_e")
+
+
+def attempt_outcomes(attempts: DataFrame, most: int = 3) -> DataFrame:
+    """(url, status, reason, attempt, waited) of pages that are tried up to `most` times. From (url, attempt from 1, error, expected,
+    labels, anchors, engines): what each attempt met, if it was made.
+
+    The first attempt that settles the page counts. An error, fewer anchors than expected, or anchors without engines ask for
+    another attempt while there is one; no anchors at all do so only where something says that there are some. waited is the
+    time spent before the settling attempt, without jitter.
+    """
+    n = F.col("attempt")
+    left = n < most
+    expected, anchors = F.coalesce("expected", F.lit(0)), F.coalesce("anchors", F.lit(0))
+    bare = failure_status("expected", "labels", "anchors")
+    verdict = (
+        F.when(F.coalesce("error", F.lit("")) != "", F.when(left, F.lit(None)).otherwise(F.struct(F.lit("failed").alias("status"), F.lit("max_retries_exhausted").alias("reason"))))
+        .when(anchors == 0, F.when(left & (bare == "failed"), F.lit(None)).otherwise(F.struct(bare.alias("status"), F.lit("zero_anchors_after_harvest").alias("reason"))))
+        .when((anchors < expected) & left, F.lit(None))
+        .when(F.coalesce("engines", F.lit(0)) == 0, F.when(left, F.lit(None)).otherwise(F.struct(F.lit("failed").alias("status"), F.lit("zero_engines_with_specs").alias("reason"))))
+        .otherwise(F.struct(F.lit("ok").alias("status"), F.lit("").alias("reason")))
+    )
+    judged = attempts.filter(n <= most).select("url", "attempt", verdict.alias("v"))
+    settled = F.min_by(F.struct("attempt", "v"), F.when(F.col("v").isNotNull(), F.col("attempt"))).alias("s")
+    out = judged.groupBy("url").agg(settled, F.max("attempt").alias("last"))
+    # pages whose attempts all asked for one more are pending
+    at = F.coalesce("s.attempt", "last")
+    waits = F.aggregate(F.sequence(F.lit(1), at.cast("int")), F.lit(0.0), lambda a, k: a + retry_wait(k))
+    return out.select("url", F.coalesce("s.v.status", F.lit("pending")).alias("status"), F.coalesce("s.v.reason", F.lit("")).alias("reason"), at.cast("int").alias("attempt"), waits.alias("waited"))

@@ -118,8 +118,8 @@ def keep_first(df: DataFrame, key: str | Column, order: list[str | Column]) -> D
 
 def dedup_content(df: DataFrame, fields: list[str], order: list[str]) -> DataFrame:
     """Records with no content key go; of equal keys the first stays."""
-    keyed = df.withColumn("_ck", content_key(fields)).filter("_ck <> ''")
-    return keep_first(keyed, "_ck", order).drop("_ck")
+    key = tx.free_name(df.columns, "_ck")
+    return keep_first(df.withColumn(key, content_key(fields)).filter(F.col(key) != ""), key, order).drop(key)
 
 
 def dedup_id(df: DataFrame, id_: str, order: list[str]) -> DataFrame:
@@ -167,7 +167,8 @@ def fill_forward(df: DataFrame, column: str, within: list[str], order: list[str]
 
 def top_k(df: DataFrame, within: list[str], order: list, k: int) -> DataFrame:
     """L2: the first k of each group."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*within).orderBy(*order))).filter(F.col("_n") <= k).drop("_n")
+    n = tx.free_name(df.columns, "_n")
+    return df.withColumn(n, F.row_number().over(Window.partitionBy(*within).orderBy(*order))).filter(F.col(n) <= k).drop(n)
 
 
 def limited(df: DataFrame, order: list[str], n: int | None, zero_is_all: bool = False) -> DataFrame:

@@ -87,9 +87,8 @@ class Session:
 
     def analyze(self, pages: DataFrame, url: str, fields: list[str], max_pages: int = 100) -> Job:
         """Profiles the pages at hand and plans their extraction."""
-        job = self.jobs[uuid.uuid4().hex] = Job(uuid.uuid4().hex)
-        self.jobs = {j.id: j for j in self.jobs.values()}
-        job.status = "running"
+        job = Job(uuid.uuid4().hex, "running")
+        self.jobs[job.id] = job
         try:
             self._tell(job, 10, "parse")
             nodes = dom.node_table(pages)
@@ -110,8 +109,8 @@ class Session:
         job.value["plan"] = job.value["plan"].with_answers(max_pages, more_fields)
         return job
 
-    def extract(self, job_id: str, pages: DataFrame, folder: str, own: Extractor | None = None, responses: DataFrame | None = None) -> Job:
-        """Runs an analysed plan over pages and exports the formats it names."""
+    def extract(self, job_id: str, pages: DataFrame, folder: str, own: Extractor | None = None, responses: DataFrame | None = None, one_file: bool = False) -> Job:
+        """Runs an analysed plan over pages and exports the formats it names; one_file as in sinks.export()."""
         plan = self.jobs[job_id].value["plan"]
         job = Job(uuid.uuid4().hex, "running")
         self.jobs[job.id] = job
@@ -122,7 +121,7 @@ class Session:
             kept, counts = finish(extract_pages(some, plan, own, responses), plan.names)
             self._tell(job, 80, "export", counts["kept"])
             text = sinks.report(plan.target_url, some.count(), counts["kept"], counts["junk"], counts["duplicates"], plan.names, "pageloom")
-            got = sinks.export(kept.orderBy("page_id", "item_ord"), folder, plan.names, plan.formats, text, one_file=True)
+            got = sinks.export(kept.orderBy("page_id", "item_ord"), folder, plan.names, plan.formats, text, one_file)
             job.status, job.files, job.value = got["status"], got.get("files", {}), {**counts, "seconds": time.time() - began}
             job.error = None if got["status"] == "success" else "no records"
             self._tell(job, 100, job.status, counts["kept"])

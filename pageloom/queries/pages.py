@@ -127,11 +127,6 @@ def pagination_hints(spark, d):
     return inspect.pagination_hints(dom.parse_pages(read_table(spark, d, "pages"))).select("page_id", "kind", "text", "href")
 
 
-@query("SELECT page_id, url FROM pages WHERE contains(url, '?page=') OR contains(url, '/page/')")
-def nav_hint_urls(spark, d):
-    return read_table(spark, d, "pages").filter(F.col("url").contains("?page=") | F.col("url").contains("/page/")).select("page_id", "url")
-
-
 @query(
     r"""WITH p AS (SELECT page_id, url, 'https://' || CASE WHEN page_id % 5 = 0 THEN 'elsewhere.example' ELSE regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) END || CASE WHEN page_id % 5 = 1 THEN '/' ELSE '/deep/page' END AS landed,
   CASE WHEN page_id % 5 = 3 THEN 'Access Denied' ELSE 'Fine' END AS title, CASE WHEN page_id % 5 = 2 THEN 100 ELSE 900 END AS n FROM pages),
@@ -211,7 +206,7 @@ def fixture(spark, *html: str, url: str = "http://example.org/catalogue/page-1.h
 
 @query("SELECT * FROM (VALUES (0, 1, 'Avalon', '10', '1'), (0, 2, 'Brobd', '20', '2'), (0, 3, 'Cibola', '', '3'), (0, 4, 'Dor', '40', '4'), (0, 5, 'Erewhon', '50', '5')) t(page_id, item_ord, country, land_area, zz)")
 def table_records(spark, d):
-    """D5, D21. An empty header would match every field, so the fixture names its first column."""
+    """D5, D21 on one page with its header named; generated_tables_blank_header has the empty one."""
     p = fixture(spark, TABLE_HTML.replace("<th></th>", "<th>zz</th>"))
     return extract.from_tables(dom.node_table(p), ["country", "land_area", "zz"]).select(F.col("page_id").cast("int").alias("page_id"), "item_ord", "country", "land_area", "zz")
 
