@@ -69,3 +69,35 @@ def test_stages_do_what_they_say(spark, corpus):
 
 def test_names_and_order():
     assert [n for n, _ in p.STAGES] == ["toxicity", "exact dedup", "simhash near-dedup", "source mixing", "byte-level bpe"]
+
+
+def test_odd_rows_pass_through_every_stage(spark, corpus, tmp_path):
+    """Null ids and texts, repeated rows, columns with names that the stages use, and an empty table."""
+    d, texts, *_ = corpus
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    base = spark.read.parquet(f"{d}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, None, None, None, None), (None, "only here, without any id", "en", None, None), (3001, "", "en", "s1", 0), (1, texts[1], "en", "s1", 0), (1, texts[1], "en", "s1", 0)], base.schema)
+    docs = base.unionByName(odd)
+    for c in ("_copy_key", "_copy_verdict", "_node", "_lead", "_mix_n", "_mix_own", "size", "score", "part", "raw"):
+        docs = docs.withColumn(c, p.mixing.F.lit("mine"))
+    empty = docs.limit(0)
+    for name, stage in p.STAGES:
+        out, none = p.write_table(stage(spark, docs, str(tmp_path)), "odd"), p.write_table(stage(spark, empty, str(tmp_path)), "none")
+        assert none.count() == 0
+        if name == "byte-level bpe":
+            assert out.count() == docs.count() and out.filter("n_tokens > 0").count() > 300
+            continue
+        assert out.columns == docs.columns and out.filter("_copy_key <> 'mine' OR _node <> 'mine' OR size <> 'mine'").isEmpty()
+        if name != "toxicity":
+            assert out.filter("doc_id = 1").count() <= (3 if name == "source mixing" else 1)
+        docs, empty = out, none
+    assert docs.filter("text LIKE 'only here%'").count() in (0, 1, 2, 3)
+
+
+def test_run_leaves_only_the_last_table(spark, corpus):
+    from pageloom.llm import common
+
+    before = common.mark()
+    out = p.run(spark, corpus[0])
+    assert out.count() > 0 and len(common._made) - before == len(p.STAGES)

@@ -62,3 +62,11 @@ def test_ring_loses_no_link(distance, large, monkeypatch):
     d = np.bitwise_count(x[:, None] ^ x[None])
     i, j = np.nonzero(d <= distance)
     assert (got == smallest_labels(len(x), i, j)).all()
+
+
+def test_long_text_and_clashing_columns(spark):
+    long = " ".join(f"w{i % 9000}" for i in range(120_000))
+    rows = [(1, long), (2, long + " x"), (3, "other words here"), (None, long)]
+    df = spark.createDataFrame([(d, t, "m", "m", 1, 1) for d, t in rows], "doc_id long, text string, component_id string, node string, n int, k int")
+    got = {(r.doc_id, r.component_id) for r in s.near_groups(df).collect()}
+    assert got == {(1, 1), (2, 1), (None, 1), (3, 3)}

@@ -114,3 +114,17 @@ def test_registered_query(spark, tmp_path):
     got = op7_toxicity(spark, str(tmp_path)).collect()
     assert len(got) == 120
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) for r in got)
+
+
+def test_equal_texts_score_alike(spark):
+    from pageloom.llm import toxicity as tox
+
+    rows = [(i, "you stupid idiot go away" if i % 3 == 0 else f"a fine day number {i}") for i in range(300)]
+    df = spark.createDataFrame([(i, t, "mine") for i, t in rows], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    both = df.unionByName(df)
+    got = tox.score_documents(both, tox.train(both, labels)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(rows[r.doc_id][1], set()).add(r.score)
+    assert len(got) == 600 and all(len(x) == 1 for x in by.values())
