@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Pareto order sampling. DataFrame and SQL functions only.
 
-A document's expected number of copies is proportional to a weight, the root of its number of words, up to the cap; the
-factor is the one at which the expected words of its source are the target. The whole part is taken for certain; the rest
+A document's expected number of copies is proportional to a weight, up to the cap: 16 and the number of binary digits of its
+number of words, so the longest are taken up to about twice as often as the shortest. The factor is the one at which the
+expected words of its source are the target. The whole part is taken for certain; the rest
 is the document's own inclusion probability, and documents are ranked by random odds over inclusion odds. The smallest
 ranks are taken until the words reach the target (a sample of fixed size in words, to within half a document).
 """
@@ -43,8 +44,8 @@ def source_targets(sizes: DataFrame, cap: int = 3, weights: tuple[int, ...] = (1
     )
 
 
-#: An integer, so sums of it are exact and reruns agree.
-WEIGHT = "greatest(CAST(floor(16 * sqrt(CAST({size} AS double))) AS bigint), 1)"
+#: An integer, so sums of it are exact and reruns agree; it rises with size, which shares() relies on.
+WEIGHT = "CAST(16 + length(bin({size})) AS bigint)"
 
 EXPECTED = "CASE WHEN source_size > 0 THEN least(CAST({cap} AS double), {factor} * {w}) ELSE 0D END"
 
@@ -186,7 +187,7 @@ levels AS (SELECT *, row_number() OVER (ORDER BY full_at, ord) AS pos,
    / CAST(sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY full_at, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS level FROM weighed),
 targets AS (SELECT source, ord, source_size, least(CAST(3 * source_size AS DOUBLE), (SELECT arg_min(level, pos) FROM levels WHERE level <= full_at) * w) AS target FROM weighed),
 g AS (SELECT b.ord, a.size, any_value(b.source_size) AS source_size, any_value(b.target) AS target, count(*) AS n,
-   greatest(CAST(floor(16 * sqrt(CAST(a.size AS DOUBLE))) AS BIGINT), 1) AS w
+   CAST(16 + length(bin(CAST(a.size AS BIGINT))) AS BIGINT) AS w
    FROM sizes a JOIN targets b ON a.source IS NOT DISTINCT FROM b.source GROUP BY b.ord, a.size),
 s AS (SELECT *, CAST(n * size AS HUGEINT) AS words, CAST(n * size AS HUGEINT) * w AS weighed FROM g),
 r AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY ord ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_words,

@@ -26,7 +26,7 @@ SAMPLE, KEYS = 24, 6
 #: A sampled shingle of more documents than this is common.
 COMMON = 256
 #: Documents and shingles of one part of a key's documents; documents that stand in all parts of a key.
-PART_DOCS, PART_SHINGLES, SHARED_DOCS = 2048, 1 << 22, 32
+PART_DOCS, PART_SHINGLES, SHARED_DOCS = 512, 1 << 21, 16
 #: Candidate pairs for each document of a part up to which the pairs themselves are handed on.
 PAIRS_EACH = 8
 

@@ -174,7 +174,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFram
     chosen = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out())
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).withColumn("fold", _bucket("fold", 8).cast("int"))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_rows rows
-    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), F.first("fold").alias("fold"))  # of repeated doc_ids one text
+    again = docs.select("doc_id").join(F.broadcast(chosen.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    if again.isEmpty():
+        return rows
+    # of repeated doc_ids one text
+    several = rows.join(F.broadcast(again), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), F.first("fold").alias("fold"))
+    return rows.join(F.broadcast(again), "doc_id", "left_anti").unionByName(several)
 
 
 def learn_lexicon(rows: DataFrame, size: int = 4000) -> Lexicon:

@@ -64,7 +64,7 @@ def test_taken_words_come_near_the_targets(spark):
 
 def expected_copies(sizes, target, cap=3):
     """Of each size: the cap or a common factor times the weight, found by bisection."""
-    w = {z: max(math.floor(16 * math.sqrt(z)), 1) for z in set(sizes)}
+    w = {z: 16 + len(f"{z:b}") for z in set(sizes)}
     low, high = 0.0, 1e9
     for _ in range(300):
         mid = (low + high) / 2
@@ -74,22 +74,22 @@ def expected_copies(sizes, target, cap=3):
 
 def test_inclusion_is_unequal_and_as_the_weights_say(spark):
     """Whole copies are certain; over many seeds a document's mean number of copies is its expected one."""
-    lengths = [1, 4, 9, 25, 64, 100]
+    lengths = [1, 4, 9, 25, 64, 2000]
     docs = spark.range(3000).select(
         F.col("id").alias("doc_id"), F.expr(f"repeat('w ', element_at(array({', '.join(map(str, lengths))}), CAST(id % 6 AS int) + 1))").alias("text"), F.when(F.col("id") % 5 < 3, "a").otherwise("b").alias("source")
     )
     seen = defaultdict(list)
-    for seed in "abcd":
+    for seed in "abcdefghij":  # few long documents move the cut, so a mean takes several draws
         for r in mix(docs, seed=seed).collect():
             seen[r.source, r.size].append(r.copies)
     target = {r.source: r.target for r in mix(docs).select("source", "target").distinct().collect()}
     for source in "ab":
-        sizes = [z for (s, z), c in seen.items() if s == source for _ in range(len(c) // 4)]
+        sizes = [z for (s, z), c in seen.items() if s == source for _ in range(len(c) // 10)]
         for z, e in expected_copies(sizes, target[source]).items():
             got = seen[source, z]
             assert math.floor(e) <= min(got) and max(got) <= math.ceil(e)
             assert abs(sum(got) / len(got) - e) < 0.05, (source, z, e)
-    assert len({round(sum(c) / len(c), 1) for c in seen.values()}) > 4  # unequal
+    assert all(max(c) - min(c) > 0.2 for c in ([sum(v) / len(v) for (s, _), v in seen.items() if s == source] for source in "ab"))  # unequal
 
 
 def test_pareto_ranks_decide(spark):
