@@ -131,7 +131,7 @@ class _Scanner:
 class Codec:
     """Encodes and decodes by a tiktoken rank file's content. Not special-token aware: their strings are ordinary text."""
 
-    CACHE = 400_000  # pieces; then the older half goes
+    CACHE = 200_000  # pieces; then the older half goes
 
     def __init__(self, rank_file: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line)}

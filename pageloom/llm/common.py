@@ -123,7 +123,7 @@ def word_count(c: str | Column = "text") -> Column:
     return F.regexp_count(text_or_empty(c), F.lit(WORD)).cast("long")
 
 
-def per_document(docs: DataFrame, compute, fields: str, chunk_chars: int = 1 << 21, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def per_document(docs: DataFrame, compute, fields: str, chunk_chars: int = 1 << 20, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row per row of docs: the carried columns and the fields (DDL) that compute(texts) gives, as one list per field.
 
     Texts (null: empty) reach compute whole, in lists of about chunk_chars characters or one longer text. Memory is

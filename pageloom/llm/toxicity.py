@@ -250,7 +250,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
         texts, out, at = [t or "" for t in s], [], 0
         while at < len(texts):  # whole texts, in bounded groups
             end, chars = at, 0
-            while end < len(texts) and (end == at or chars + len(texts[end]) <= 1 << 21):
+            while end < len(texts) and (end == at or chars + len(texts[end]) <= 1 << 20):
                 chars += len(texts[end])
                 end += 1
             out.append(shared.value.score(texts[at:end]))
