@@ -123,6 +123,19 @@ def word_count(c: str | Column = "text") -> Column:
     return F.regexp_count(text_or_empty(c), F.lit(WORD)).cast("long")
 
 
+def give_back() -> None:
+    """Returns memory that a Python worker no longer uses to the system: workers live on from stage to stage beside one another."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library, which has no such call
+        pass
+
+
 def per_document(docs: DataFrame, compute, fields: str, chunk_chars: int = 1 << 20, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row per row of docs: the carried columns and the fields (DDL) that compute(texts) gives, as one list per field.
 
@@ -153,6 +166,7 @@ def per_document(docs: DataFrame, compute, fields: str, chunk_chars: int = 1 <<
                 cols += [pa.array(v, type=schema.field(n_carry + i).type) for i, v in enumerate(got)]
                 yield pa.RecordBatch.from_arrays([c.cast(schema.field(i).type) for i, c in enumerate(cols)], names=names)
                 at = end
+        give_back()
 
     return docs.select(*carry, "text").mapInArrow(run, out)
 

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, per_document, write_table
+from .common import documents, give_back, per_document, write_table
 
 DEPTH = 5
 END = b"\xff"  # no byte of UTF-8
@@ -148,6 +148,7 @@ def gather(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 yield from rows(words, seen, n)
                 words, seen, n = Counter(), seen[:0], n[:0]
         yield from rows(words, seen, n)
+        give_back()
 
     counted = docs.select("learn", "text").mapInArrow(count, "gram long, word binary, n long")
     return write_table(counted.groupBy("gram", "word").agg(F.sum("n").alias("n")), "lm-counts")

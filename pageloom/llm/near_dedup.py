@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, components, free_name, is_small, join_counted, per_document, text_digest, text_or_empty, write_table
+from .common import broadcast_if_small, components, free_name, give_back, is_small, join_counted, per_document, text_digest, text_or_empty, write_table
 from .simhash import fingerprint, shingle_hashes
 
 PRINT_BITS, SEGMENTS, CHAIN = 256, 16, 4
@@ -100,6 +100,7 @@ def _parts(batches, keys: int):
             held = held.slice(cut)
     if held is not None and held.num_rows:
         yield held.combine_chunks()
+    give_back()
 
 
 def _cuts(table, keys: int) -> np.ndarray:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, per_document
+from .common import documents, give_back, per_document
 
 SEED = frozenset(
     "idiot idiots idiotic moron morons moronic stupid trash scum loser losers pathetic worthless disgusting clown dumb dumbass jerk "
@@ -255,6 +255,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
                 end += 1
             out.append(shared.value.score(texts[at:end]))
             at = end
+        give_back()
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     return docs.filter(score("text") < threshold)
