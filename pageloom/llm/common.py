@@ -98,15 +98,15 @@ def _bytes(field) -> Column:
     return F.lit(8 + _fixed(kind))
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+def is_small(df: DataFrame) -> bool:
     """Whether a written table is within both bounds; rows and bytes of all its rows are measured."""
     n, b = df.agg(F.count("*"), F.coalesce(F.sum(sum(map(_bytes, df.schema.fields), F.lit(32)).cast("long")), F.lit(0))).first()
-    return n <= rows and b <= size
+    return n <= BROADCAST_ROWS and b <= BROADCAST_BYTES
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Marked for broadcast where is_small() holds; else left to a shuffled join. Give a written table."""
-    return F.broadcast(df) if is_small(df, rows, size) else df.hint("merge")
+    return F.broadcast(df) if is_small(df) else df.hint("merge")
 
 
 def text_or_empty(c: str | Column = "text") -> Column:

@@ -103,7 +103,7 @@ class DigestIndex:
             pages = self.spark.read.parquet(level.filters).groupBy("page").agg(F.collect_list(F.struct("run", "bits")).alias(f"pages_{i}"))  # a page of each run
             pages = write_table(pages.withColumnRenamed("page", f"page_{i}"), "filter-pages")
             place = _place(level.size)
-            runs = runs.withColumn(f"place_{i}", place).join(broadcast_if_small(pages, size=32 << 20), F.expr(f"place_{i} div {_PAGE}") == F.col(f"page_{i}"), "left")
+            runs = runs.withColumn(f"place_{i}", place).join(broadcast_if_small(pages), F.expr(f"place_{i} div {_PAGE}") == F.col(f"page_{i}"), "left")
             byte = f"substring(p.bits, CAST((place_{i} % {_PAGE}) div 8 AS int) + 1, 1)"
             maybe = maybe | F.expr(f"coalesce(exists(pages_{i}, p -> p.run <> run AND (shiftright(CAST(conv(hex({byte}), 16, 10) AS int), CAST(place_{i} % 8 AS int)) & 1) = 1), false)")
         return runs.filter(maybe).select("run", "digest", "first", "n")
