@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions import text as tx
 from ..sources.staging import staged
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -293,6 +294,23 @@ def _steps(selector: str) -> list[tuple[str, str]]:
     return steps
 
 
+#: Places of one bucket of within(). An outer element is there once for each bucket that it reaches into.
+BUCKET = 64
+
+
+def within(inner: DataFrame, outer: DataFrame, page: str, pre: str, post: str) -> DataFrame:
+    """inner (page_id, pre, ...) joined to the outer elements (page, pre, post, ...: columns of names that inner lacks) they are in.
+
+    Besides the page they share a bucket of places, so a node meets the elements around it, not all of its page.
+    """
+    mine, theirs = tx.free_name(inner.columns + outer.columns, "_bucket"), tx.free_name(inner.columns + outer.columns, "_reach")
+    reach = F.sequence(F.floor((F.col(pre) + 1) / BUCKET), F.floor(F.col(post) / BUCKET))
+    some = outer.filter(F.col(post) > F.col(pre)).withColumn(theirs, F.explode(reach))
+    left = inner.withColumn(mine, F.floor(F.col("pre") / BUCKET))
+    on = (F.col("page_id") == F.col(page)) & (F.col(mine) == F.col(theirs)) & (F.col("pre") > F.col(pre)) & (F.col("pre") <= F.col(post))
+    return left.join(some, on).drop(mine, theirs)
+
+
 def select(nodes: DataFrame, selector: str, scopes: DataFrame | None = None) -> DataFrame:
     """Nodes that match a selector list. With scopes (page_id, scope_pre, scope_post) only those inside a scope, as
     (scope_pre, node columns); a selector may then begin with :scope >."""
@@ -306,7 +324,7 @@ def select(nodes: DataFrame, selector: str, scopes: DataFrame | None = None) ->
         elif scoped:
             first = nodes.filter(compound(steps[0][1])).alias("n")
             s = scopes.select(F.col("page_id").alias("s_page"), "scope_pre", "scope_post")
-            base = first.join(s, (F.col("page_id") == F.col("s_page")) & (F.col("pre") > F.col("scope_pre")) & (F.col("pre") <= F.col("scope_post")))
+            base = within(first, s, "s_page", "scope_pre", "scope_post")
             out = base.select("scope_pre", *nodes.columns)
             base, steps = out.select("page_id", F.col("pre").alias("l_pre"), F.col("post").alias("l_post"), F.col("parent").alias("l_parent"), F.col("sib").alias("l_sib"), "scope_pre"), steps[1:]
         else:
@@ -315,14 +333,14 @@ def select(nodes: DataFrame, selector: str, scopes: DataFrame | None = None) ->
         for how, piece in steps:
             right = nodes.filter(compound(piece))
             left = base.withColumnRenamed("page_id", "l_page")
-            on = F.col("page_id") == F.col("l_page")
+            same = F.col("page_id") == F.col("l_page")
             if how == ">":
-                on &= F.col("parent") == F.col("l_pre")
+                out = right.join(left, same & (F.col("parent") == F.col("l_pre")))
             elif how == "~":
-                on &= (F.col("parent") == F.col("l_parent")) & (F.col("sib") > F.col("l_sib"))
+                out = right.join(left, same & (F.col("parent") == F.col("l_parent")) & (F.col("sib") > F.col("l_sib")))
             else:
-                on &= (F.col("pre") > F.col("l_pre")) & (F.col("pre") <= F.col("l_post"))
-            out = right.join(left, on).select("scope_pre", *nodes.columns)
+                out = within(right, left, "l_page", "l_pre", "l_post")
+            out = out.select("scope_pre", *nodes.columns)
             base = out.select("page_id", F.col("pre").alias("l_pre"), F.col("post").alias("l_post"), F.col("parent").alias("l_parent"), F.col("sib").alias("l_sib"), "scope_pre")
         found = out.select("scope_pre", *nodes.columns) if found is None else found.unionByName(out.select("scope_pre", *nodes.columns))
     found = found.dropDuplicates(["page_id", "scope_pre", "pre"])

@@ -36,7 +36,7 @@ def link_sample(nodes: DataFrame, most: int = 100) -> DataFrame:
 def _inside(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """inner nodes with the outer node that holds them: page_id, o_pre and inner's columns. An interval join next to page equality."""
     o = outer.select(F.col("page_id").alias("o_page"), F.col("pre").alias("o_pre"), F.col("post").alias("o_post"))
-    return inner.join(o, (F.col("page_id") == F.col("o_page")) & (F.col("pre") > F.col("o_pre")) & (F.col("pre") <= F.col("o_post"))).drop("o_page", "o_post")
+    return dom.within(inner, o, "o_page", "o_pre", "o_post").drop("o_page", "o_post")
 
 
 def form_inventory(nodes: DataFrame) -> DataFrame:

@@ -149,3 +149,18 @@ def test_queries_parse_a_page_once(spark, name, monkeypatch):
     monkeypatch.setattr(dom, "parse_pages", lambda *a, **k: parsed.append(1) or parse(*a, **k))
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert len(parsed) == 1 and plan.count("MapInArrow") <= 1
+
+
+@pytest.mark.parametrize("bucket", [1, 3, 64])
+def test_nodes_meet_all_elements_around_them(spark, bucket, monkeypatch):
+    monkeypatch.setattr(dom, "BUCKET", bucket)
+    rnd = random.Random(6)
+    html = {k: "".join(rnd.choice(["<div>", "<div>", "</div>", "<b>x</b>", "</div>"]) for _ in range(120)) for k in range(3)}
+    n = dom.node_table(spark.createDataFrame([(k, "u", h) for k, h in html.items()], "page_id long, url string, html string"))
+    outer = n.filter("tag = 'div'").selectExpr("page_id AS o_page", "pre AS o_pre", "post AS o_post")
+    got = sorted((r.page_id, r.pre, r.o_pre) for r in dom.within(n, outer, "o_page", "o_pre", "o_post").collect())
+    want = []
+    for k, h in html.items():
+        rows = dom.parse_html(h)
+        want += [(k, x["pre"], o["pre"]) for o in rows if o["tag"] == "div" for x in rows if o["pre"] < x["pre"] <= o["post"]]
+    assert got == sorted(want)
