@@ -164,3 +164,14 @@ def test_nodes_meet_all_elements_around_them(spark, bucket, monkeypatch):
         rows = dom.parse_html(h)
         want += [(k, x["pre"], o["pre"]) for o in rows if o["tag"] == "div" for x in rows if o["pre"] < x["pre"] <= o["post"]]
     assert got == sorted(want)
+
+
+def test_letters_of_pages_are_those_of_their_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from pageloom.queries import pages as q
+
+    html = {1: "<title>this &amp</title><p>a &amp; b&copy;c</p>", 2: "<p>x &Eacute; &#65; &#x41; &frac12 y &nosuch; R&D</p>", 3: "before<p>in</p>after", 4: "", 5: "<style>p{}</style><p>it</p><script>if (a&&b) c</script>"}
+    spark.createDataFrame([(k, "u", h) for k, h in html.items()], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(tuple, q.QUERIES["page_visible_text"](spark, str(tmp_path)).collect()))
+    duckdb.sql(f"CREATE OR REPLACE VIEW pages AS FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(duckdb.sql(q.ORACLE_SQL["page_visible_text"]).fetchall())
