@@ -14,6 +14,7 @@ from ..functions import values as v
 from ..operators import crawl, dom, extract, inspect, nested, records
 from ..plans.adapters import Books, Vehicles
 from ..sources.readers import read_table
+from ..sources.staging import staged
 from . import registry
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -26,6 +27,11 @@ def _paged(rows: DataFrame, page: str, order: str, item: Column, before: str, af
     return made.select("page_id", F.concat(F.lit(url), F.col("page_id").cast("string"), F.lit("/index.html")).alias("url"), "html")
 
 
+def _rows(spark, d, table: str, key: str) -> DataFrame:
+    """A table each of whose rows becomes a page, dealt over tasks while its rows are small: pages are made where they are parsed."""
+    return dom.spread(read_table(spark, d, table), key, dom.SHARE >> 4)
+
+
 def _text(*parts: str | Column) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
@@ -222,7 +228,7 @@ def _book_pages(spark, d) -> DataFrame:
         F.format_string("%.2f", "p_retailprice"), "</p><p class='instock availability'>", stock, "</p><p class='star-rating ", word, "'></p></div><div id='product_description'><h2>On it</h2></div><p>",
         F.repeat(_text("About ", F.col("p_name"), ". "), 400), "</p><table><tr><th>UPC</th><td>", F.when(k % 7 == 0, F.lit("")).otherwise(_text("u", k)), "</td></tr><tr><th>Tax</th><td>£0.00</td></tr></table>",
     )
-    return read_table(spark, d, "part").select(k.alias("page_id"), _text("http://b.example/catalogue/", k, "/index.html").alias("url"), html.alias("html"))
+    return _rows(spark, d, "part", "p_partkey").select(k.alias("page_id"), _text("http://b.example/catalogue/", k, "/index.html").alias("url"), html.alias("html"))
 
 
 _BOOKS = """b AS (SELECT *, p_partkey AS k, 'http://b.example/catalogue/' || p_partkey || '/index.html' AS url FROM part WHERE p_partkey % 11 <> 0)"""
@@ -245,7 +251,7 @@ def generated_books(spark, d):
 def generated_book_issues(spark, d):
     """The adapter's checks over two deliveries of every book."""
     adapter = Books()
-    books = adapter.extract(_book_pages(spark, d))
+    books = staged(adapter.extract(_book_pages(spark, d)).select(*adapter.checked), "books")
     return adapter.validate(books.unionByName(books))
 
 
@@ -275,7 +281,7 @@ def _vehicle_pages(spark, d) -> DataFrame:
         "</td></tr><tr><td>Power</td><td>", k % 300 + 90, " HP</td></tr><tr><td colspan='2'>nothing to see</td></tr><tr><td colspan='2'>FUEL ECONOMY</td></tr><tr><td>Segment:</td><td>", F.when(k % 3 == 0, F.lit("")).otherwise(F.col("c_mktsegment")),
         "</td></tr></table>",
     )
-    return read_table(spark, d, "customer").select(k.alias("page_id"), _text("http://v.example/car-", k, ".html").alias("url"), html.alias("html"))
+    return _rows(spark, d, "customer", "c_custkey").select(k.alias("page_id"), _text("http://v.example/car-", k, ".html").alias("url"), html.alias("html"))
 
 
 _CARS = """e AS (SELECT c_custkey AS k, c_name, c_mktsegment, c_nationkey, 'http://v.example/car-' || c_custkey || '.html' AS url, 'aeng_car-' || c_custkey || '-20l-v6-6mt-rwd-' || (c_custkey % 300 + 90) || '-hp' AS anchor,

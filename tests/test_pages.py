@@ -175,3 +175,48 @@ def test_letters_of_pages_are_those_of_their_sql(spark, tmp_path):
     got = sorted(map(tuple, q.QUERIES["page_visible_text"](spark, str(tmp_path)).collect()))
     duckdb.sql(f"CREATE OR REPLACE VIEW pages AS FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert got == sorted(duckdb.sql(q.ORACLE_SQL["page_visible_text"]).fetchall())
+
+
+def test_pages_are_given_away_by_rows(monkeypatch):
+    """What the parser holds of a long page is what is open, not the page's rows; pieces change nothing."""
+    html = "<div class='grid'>" + "".join(f"<p class=c>x {i} &amp; <b>y</b> < z</p><script>if (a<b) {i}</script>" for i in range(3000)) + "</div>"
+    whole = dom.parse_html(html)
+    monkeypatch.setattr(dom, "PIECE", 1000)
+    tree = dom._Tree()
+    seen, most, rows = 0, 0, []
+    for r in tree.run(html):
+        rows.append(r)
+        most = max(most, len(tree.ready) + len(tree.stack))
+    assert most < 60 and sorted(rows, key=lambda r: r["pre"]) == whole and len(whole) == 9001
+
+
+def test_tags_that_are_read_fast_are_read_alike(monkeypatch):
+    import re
+
+    rnd = random.Random(8)
+    bits = ["<p>", "</p>", "<B>", "</b >", "<a HREF='x' b=\"y\">", "</a>", "<i t='&amp;'>", "<i\nid='1'\n c=''>", "</i>", "<br/>", "<script>", "</script>", "<u x=1>", "<u x='1'y='2'>", "< ", "t", "&lt"]
+    pages = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 25))) for _ in range(1500)]
+    fast = [dom.parse_html(h) for h in pages]
+    monkeypatch.setattr(dom, "_PLAIN_START", re.compile("(?!)"))
+    monkeypatch.setattr(dom, "_PLAIN_END", re.compile("(?!)"))
+    assert fast == [dom.parse_html(h) for h in pages]
+
+
+def test_book_pages_are_not_shuffled(spark):
+    """A page is made, parsed and read in one task; what is dealt is the small rows that pages are made of."""
+    from pageloom.operators.dom import spread
+
+    rows = spread(spark.read.parquet("/root/testdata/sf0.001/part.parquet"), "p_partkey")
+    pages = rows.selectExpr("p_partkey AS page_id", "'http://b.example/catalogue/x/index.html' AS url", "concat('<h1>', p_name, '</h1><div id=product_description></div><p>d</p><img>') AS html")
+    got = extract.detail_records(pages)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1 and plan.count("MapInArrow") == 1
+    assert got.filter("title <> '' AND description = 'd'").count() == rows.count()
+
+
+def test_detail_pages_of_odd_layout(spark):
+    html = "<ul class='breadcrumb'><li>a</li><ul class='breadcrumb'><li>b</li></ul></ul><h1></h1><h1>late</h1><p id='product_description'></p><div><p>no</p></div><p>yes</p><div class='item active'><img alt='x'><img src='/i.jpg'></div>"
+    html += "<table><tr><td><table><tr><th>UPC</th><td>in</td></tr></table></td></tr><tr><th>UPC</th><td>out</td></tr><tr><th>UPC</th><td>last</td></tr></table><table><tr><th>Tax</th><td>9</td></tr></table>"
+    r = extract.detail_records(spark.createDataFrame([(1, "http://s/x/", html), (2, "http://s/y/", None)], "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert (r[0].title, r[0].description, r[0].breadcrumb, r[0].category, r[0].image_url, r[0].upc, r[0].tax_gbp) == ("", "yes", "a > b > b", "b", "", "last", "")
+    assert len(r) == 2 and r[1].title == ""
