@@ -220,3 +220,13 @@ def test_detail_pages_of_odd_layout(spark):
     r = extract.detail_records(spark.createDataFrame([(1, "http://s/x/", html), (2, "http://s/y/", None)], "page_id long, url string, html string")).orderBy("page_id").collect()
     assert (r[0].title, r[0].description, r[0].breadcrumb, r[0].category, r[0].image_url, r[0].upc, r[0].tax_gbp) == ("", "yes", "a > b > b", "b", "", "last", "")
     assert len(r) == 2 and r[1].title == ""
+
+
+def test_pages_are_dealt_by_their_size(spark, tmp_path, monkeypatch):
+    """Tasks grow in number with the pages, where a file's splits are few; and only what is asked for is made."""
+    spark.range(300).selectExpr("id AS page_id", "'u' AS url", "concat('<a href=/', id, '>', sha2(string(id), 512), '</a><p>t</p>') AS html").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    p = spark.read.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(dom, "SHARE", 1)
+    assert dom.spread(p, share=2_000).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    some = dom.parse_pages(p, columns="pre tag text", tags="a")
+    assert some.columns == ["page_id", "pre", "tag", "text"] and some.filter("tag = 'a' AND length(text) = 128").count() == some.count() == 300
