@@ -94,7 +94,7 @@ def generated_cards(spark, d):
 @query(f"WITH {_PARTS} SELECT page_id, 'div.card' AS signature, count(*) AS n, CAST(3 AS BIGINT) AS child_tags FROM p WHERE n >= 3 GROUP BY page_id")
 def generated_patterns(spark, d):
     """The best pattern of each page."""
-    return inspect.repeated_patterns(dom.node_table(_part_cards(spark, d))).filter("rank = 1").select("page_id", "signature", "n", "child_tags")
+    return inspect.repeated_patterns(dom.node_table(_part_cards(spark, d), **inspect.PATTERNS)).filter("rank = 1").select("page_id", "signature", "n", "child_tags")
 
 
 @query(f"WITH {_PARTS} SELECT page_id, 'div.card' AS selector, count(*) AS n, CAST(2 AS INT) AS samples FROM p WHERE n >= 3 GROUP BY page_id")

@@ -230,3 +230,58 @@ def test_pages_are_dealt_by_their_size(spark, tmp_path, monkeypatch):
     assert dom.spread(p, share=2_000).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
     some = dom.parse_pages(p, columns="pre tag text", tags="a")
     assert some.columns == ["page_id", "pre", "tag", "text"] and some.filter("tag = 'a' AND length(text) = 128").count() == some.count() == 300
+
+
+def _held(tree) -> int:
+    """Characters of a page that the parser holds."""
+    return sum(map(len, tree.waiting)) + len(tree.rawdata) + sum(len(x) for r in tree.stack for x in [*(r["said"] or ()), *r["bits"], *r["own"]])
+
+
+def test_of_texts_that_nobody_reads_just_lengths_are_held(monkeypatch):
+    html = "<div class='grid'>" + "".join(f"<div class='card'><h3>Part no. {i}</h3><p>some <b>words</b><br>of it</p><script>x()</script> </div>" for i in range(3000)) + "</div>"
+    whole = dom.parse_html(html)
+    monkeypatch.setattr(dom, "PIECE", 1000)
+    for which, held in (({"wanted": frozenset({"text_len", "joined_len"})}, 1300), ({"says": lambda r: r["tag"] == "td", "short": 30, "joins": lambda r: r["tag"] == "h3"}, 1300)):
+        tree, most, rows = dom._Tree(**which), 0, []
+        for r in tree.run(html):
+            rows.append(r)
+            most = max(most, _held(tree))
+        rows.sort(key=lambda r: r["pre"])
+        assert most < held and [(r["text_len"], r["joined_len"]) for r in rows] == [(len(r["text"]), len(r["joined"])) for r in whole]
+    assert [r["text"] for r in rows] == [r["text"] if len(r["text"]) <= 30 else "" for r in whole]
+    assert [r["joined"] for r in rows] == [r["joined"] if r["tag"] == "h3" else "" for r in whole]
+
+
+def test_pages_go_to_python_in_parts(spark, monkeypatch):
+    """Parts are small, however large a page; they cut characters, tags and texts, and change nothing."""
+    htmls = ["<p>é😀 a</p>" * 50, None, "", "no element", "<div>" + "<i a='ß'>ü &amp; ö</i>\n" * 30 + "</div><td>x", "<p>1234567</p>", "<p>twice", "<p>twice"]
+    ids = [0, 1, 2, 3, 4, 5, 6, 6]
+    pages = spark.createDataFrame(list(zip(ids, htmls)), "page_id long, html string").coalesce(1)
+    want = sorted((i, r["pre"], r["post"], r["text"], r["joined"], r["src_from"], r["src_to"]) for i, h in zip(ids, htmls) for r in dom.parse_html(h))
+    for part in (1, 7, 4096):
+        monkeypatch.setattr(dom, "PART", part)
+        parts = dom._parts(pages.select("page_id", "html"))
+        assert parts.selectExpr("max(octet_length(part))").first()[0] <= part
+        got = dom.parse_pages(pages).select("page_id", "pre", "post", "text", "joined", "src_from", "src_to").collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_texts_that_are_not_made_change_no_result(spark):
+    """What operators say they read of a page is all that they read."""
+    rnd = random.Random(3)
+    word = lambda: rnd.choice(["a", "no. 7", "$9.50", "8.1", "(1999)", "x" * 90, "long " * 50])
+    leaf = lambda: rnd.choice(["<h3>{}</h3>", "<span class='price'>{}</span>", "<a href='/x/{}'>{}</a>", "<p class='star-rating Two'></p><p class='price_color'>{}</p>", "{}"]).replace("{}", word())
+    card = lambda: rnd.choice(["<div class='card'>{}{}</div>", "<article class='product_pod'><h3><a href='/y'>{}</a></h3>{}</article>", "<li class='item'>{}</li>", "<li>{}</li>"]).replace("{}", leaf())
+    table = lambda: "<table><tr><th>title</th><th>price</th></tr>" + "".join(f"<tr><td><b>{word()}</b></td><td>{leaf()}</td></tr>" for _ in range(rnd.randrange(8))) + "</table>"
+    body = lambda: "".join(rnd.choice([card, card, card, leaf, table])() for _ in range(rnd.randrange(25)))
+    pages = spark.createDataFrame([(i, "http://s/", f"<div id='all'>{body()}<ul>{body()}</ul></div>") for i in range(40)], "page_id long, url string, html string")
+    full, fields = dom.node_table(pages), ["title", "price", "link"]
+    reads = [
+        (extract.PIECES, lambda n: extract.shortcut(n, fields, pages)), (extract.PIECES, lambda n: extract.fallback(n, fields, pages)), (extract.LISTINGS, lambda n: extract.listing_records(n, pages)),
+        (inspect.PATTERNS, inspect.repeated_patterns), (inspect.CONTAINER, lambda n: inspect.top_container(n, pages)), (inspect.FIRST_CLASS, inspect.repeated_first_class), (inspect.REPORT, inspect.report_flags),
+        (extract.SCOPES, lambda n: extract.refine_containers(n, inspect.find_containers(n, "div.card"), {"t": {"selector": "h3"}, "p": {"selector": ".price"}}).select("page_id", "pre", "selector")),
+    ]
+    for which, read in reads:
+        some = read(dom.node_table(pages, **which))
+        got, want = (sorted(map(repr, df.collect())) for df in (some, read(full)))
+        assert got == want and got
