@@ -88,7 +88,7 @@ _TITLE = "array_to_string(list_transform(string_split(p_name, ' '), lambda x: up
 def generated_cards(spark, d):
     """Every part's card, on pages of ten and more."""
     p = _part_cards(spark, d)
-    return extract.shortcut(dom.node_table(p), ["title", "price", "rating", "link"], p).drop("tier")
+    return extract.shortcut(dom.node_table(p, **extract.PIECES), ["title", "price", "rating", "link"], p).drop("tier")
 
 
 @query(f"WITH {_PARTS} SELECT page_id, 'div.card' AS signature, count(*) AS n, CAST(3 AS BIGINT) AS child_tags FROM p WHERE n >= 3 GROUP BY page_id")
