@@ -101,7 +101,7 @@ def generated_patterns(spark, d):
 def generated_top_container(spark, d):
     """D8, D9, W3."""
     p = _part_cards(spark, d)
-    return inspect.top_container(dom.node_table(p), p).select("page_id", "selector", "n", F.size("samples").alias("samples"))
+    return inspect.top_container(dom.node_table(p, **inspect.CONTAINER), p).select("page_id", "selector", "n", F.size("samples").alias("samples"))
 
 
 @query(f"WITH {_PARTS} SELECT page_id, 1 AS rank, 'card' AS cls, count(*) AS n FROM p WHERE n BETWEEN 3 AND 200 GROUP BY page_id UNION ALL SELECT page_id, 2, 'price', count(*) FROM p WHERE n BETWEEN 3 AND 200 GROUP BY page_id")
