@@ -107,7 +107,7 @@ def generated_top_container(spark, d):
 @query(f"WITH {_PARTS} SELECT page_id, 1 AS rank, 'card' AS cls, count(*) AS n FROM p WHERE n BETWEEN 3 AND 200 GROUP BY page_id UNION ALL SELECT page_id, 2, 'price', count(*) FROM p WHERE n BETWEEN 3 AND 200 GROUP BY page_id")
 def generated_first_classes(spark, d):
     """A1, D12."""
-    return inspect.repeated_first_class(dom.node_table(_part_cards(spark, d))).select("page_id", "rank", "cls", "n")
+    return inspect.repeated_first_class(dom.node_table(_part_cards(spark, d), **inspect.FIRST_CLASS)).select("page_id", "rank", "cls", "n")
 
 
 @query(f"WITH {_PARTS}, g AS (SELECT page_id, count(*) FILTER (k % 5 <> 0) AS priced, count(*) AS n FROM p GROUP BY page_id) SELECT page_id, CASE WHEN priced = 0 THEN n ELSE priced END AS kept FROM g WHERE n >= 2")
