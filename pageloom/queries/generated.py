@@ -267,7 +267,7 @@ def generated_listings(spark, d):
     item = _text("<article class='product_pod'><h3>", link, "</h3><p class='star-rating ", word, "'></p><p class='price_color'>£", F.format_string("%.2f", "p_retailprice"), "</p></article>")
     page = F.regexp_extract("p_brand", r"(\d+)", 1).cast("long")
     p = _paged(read_table(spark, d, "part").withColumn("page", page), "page", "p_partkey", item, "<section>", "</section>", "http://c.example/b/")
-    return extract.listing_records(dom.node_table(p), p).select("page_id", "item_ord", "title", "detail_url", "price_gbp", "rating_value")
+    return extract.listing_records(dom.node_table(p, **extract.LISTINGS), p).select("page_id", "item_ord", "title", "detail_url", "price_gbp", "rating_value")
 
 
 # --- vehicles (D32 to D34, E6) --------------------------------------------------------------------------------------
