@@ -113,7 +113,7 @@ def generated_first_classes(spark, d):
 @query(f"WITH {_PARTS}, g AS (SELECT page_id, count(*) FILTER (k % 5 <> 0) AS priced, count(*) AS n FROM p GROUP BY page_id) SELECT page_id, CASE WHEN priced = 0 THEN n ELSE priced END AS kept FROM g WHERE n >= 2")
 def generated_refinement(spark, d):
     """Of the cards those in which most field selectors hit; a fifth has no price."""
-    n = dom.node_table(_part_cards(spark, d, True))
+    n = dom.node_table(_part_cards(spark, d, True), **extract.SCOPES)
     found = inspect.find_containers(n, "div.card").filter("tag = 'div'")
     kept = extract.refine_containers(n, found, {"title": {"selector": "h3"}, "price": {"selector": ".price"}})
     return kept.groupBy("page_id").agg(F.count("*").alias("kept"))
