@@ -158,7 +158,7 @@ def generated_report(spark, d):
     """Table pages, list pages and card pages."""
     t, s, c = _customer_tables(spark, d, "<th>Key</th>"), _supplier_lists(spark, d), _part_cards(spark, d)
     every = t.unionByName(s.withColumn("page_id", F.col("page_id") + 1000)).unionByName(c.withColumn("page_id", F.col("page_id") + 2000))
-    return inspect.report_flags(dom.node_table(every)).drop("report")
+    return inspect.report_flags(dom.node_table(every, **inspect.REPORT)).drop("report")
 
 
 # --- forms, links, pagination (D3, D4, D6, D36, P8, P14, S8) --------------------------------------------------------
